@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from .archives import OP10_SQL, op10_warc
+from .contamination import OP4_SQL, op4_decontamination
 from .language import op5_language_id
 from .neighbours import op9_permutation_ann
 from .packing import op2_best_fit_packing
 from .quality import op3_quality
+from .secrets import op6_secret_scan
 from .simhash import op1_simhash_dedup
 from .tokens import op7_token_files
 
 
 def queries():
-    made = [op1_simhash_dedup, op2_best_fit_packing, op3_quality, op5_language_id, op7_token_files, op9_permutation_ann, op10_warc]
+    made = [op1_simhash_dedup, op2_best_fit_packing, op3_quality, op4_decontamination, op5_language_id, op6_secret_scan, op7_token_files, op9_permutation_ann, op10_warc]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql():
-    return {"op10_warc": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}
