@@ -1,0 +1 @@
+"""Expressions and plain functions."""

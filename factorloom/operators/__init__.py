@@ -1,0 +1 @@
+"""Relational operators, training, prediction and the parameter server."""

@@ -1,0 +1 @@
+"""How SGD is laid out over partitions."""

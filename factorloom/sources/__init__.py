@@ -1,0 +1 @@
+"""Inputs, generators and stored state."""

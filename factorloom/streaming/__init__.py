@@ -1,0 +1 @@
+"""Online training over Structured Streaming."""
