@@ -2,63 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[str] = []
+from ..sources.store import scratch, shared_dir, stored
+
+__all__ = ["crc32_of", "own_name", "scratch", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Where the session has none (tests in local mode) a temporary folder is made
-    and set as the checkpoint folder; it goes when the process ends.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _MADE:
-        at = tempfile.mkdtemp(prefix="factorloom-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        _MADE.append(f"file://{at}")
-    spark.sparkContext.setCheckpointDir(_MADE[0])
-    return _MADE[0]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    This cuts lineage, survives the loss of executors (the files are on shared
-    storage), and keeps column pruning and AQE statistics, which ``checkpoint()``
-    loses.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a frame made by ``stored`` once nothing reads it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def own_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names differ in more than case)."""
     taken = {c.lower() for c in df.columns}

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc32_of, table
+from .common import crc32_of, stored, table
 
 BINS = 1 << 13
 BLOCK = 1 << 20
@@ -122,14 +123,21 @@ class LanguageModel:
         return self.langs[k], score, score < self.limits[k, np.searchsorted(BANDS, counts.sum() // 3, side="right")]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_label: int = 400, per_language: int = 4) -> LanguageModel:
-    """Fit on at most ``per_label`` rows of each language (which the order of a hash draws) with a letter; rows without a language are not used.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, draw=None, per_label: int = 400, per_language: int = 4, languages: int = 200) -> LanguageModel:
+    """Fit on at most ``per_label`` rows of each of the ``languages`` most frequent languages; rows without a language are not used.
 
-    The driver gets those rows' n-gram counts, at most ``BINS`` numbers each.
+    The order of ``draw`` (by default a hash of the text) chooses the rows. Rows are
+    first thinned to about twice that number by draw and the languages' counts, so
+    that no language's rows meet in one task. The driver gets the sample's n-gram
+    counts, at most ``BINS`` numbers a row.
     """
-    slim = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), F.length("text"))
-    sample = slim.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_label).select("lang", "text")
+    draw = F.xxhash64(text_col) if draw is None else draw
+    slim = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")).where("lang is not null and text is not null")
+    sizes = stored(slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages), "languages")
+    share = F.least(F.lit(1.0), 2.0 * per_label / F.col("count"))
+    thin = slim.join(sizes, "lang").where(F.pmod("draw", F.lit(1_000_003)) < F.ceil(share * 1_000_003))
+    drawn = Window.partitionBy("lang").orderBy("draw", "text")
+    sample = thin.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_label).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -151,8 +159,6 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", names:
     A text that is null or has no letter is ``und``, 0, rejected. The model, at
     most (languages x per_language + 1) x BINS floats, travels with the function.
     """
-    from pyspark.sql import types as T
-
     at = df.columns.index(text_col)
 
     def each(batches):
@@ -172,6 +178,6 @@ def held_out(id_col: str = "doc_id"):
 
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~held_out()))
+    model = fit(docs.where(~held_out()), draw=F.xxhash64("doc_id"))
     slim = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(slim, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
