@@ -194,9 +194,8 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = words.encode(text.as_py()) + end
-                doc = doc.as_py()
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_each(batch.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
