@@ -34,7 +34,7 @@ SILENT_TAGS = frozenset("script style template noscript iframe object svg math h
 CLOSES = {**dict.fromkeys("p h1 h2 h3 h4 h5 h6 div ul ol dl table article section aside nav header footer main form blockquote pre figure hr".split(), {"p"}), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BOXES = frozenset("body html div article section aside nav header footer main form table ul ol dl blockquote figure details".split())
 SPACE = re.compile(r"[\s​]+")
-PATH_BINS, WORD_BINS, SHAPE = 96, 32, 9
+PATH_BINS, WORD_BINS, SHAPE = 192, 32, 9
 FEATURES = PATH_BINS + WORD_BINS + SHAPE
 
 
@@ -217,7 +217,7 @@ class Labeller:
         p = sigmoid(np.concatenate([one, two, x], 2) @ self.w + self.b)
         return [row[:n] for row, n in zip(p, sizes, strict=True)]
 
-    def train(self, pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Labeller:
+    def train(self, pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Labeller:
         rng = np.random.default_rng(seed)
         params = lambda: [*self.ways[0].p, *self.ways[1].p, self.w, self.b]
         m, v, step = [np.zeros_like(p) for p in params()], [np.zeros_like(p) for p in params()], 0
@@ -305,7 +305,8 @@ class Invented:
         name = self.named("main")
         if not name and tag in ("div", "section"):
             name = f' class="{self.r.choice(NAMES["main"])}"'
-        out = [(f"<{tag}{name}>", 0)]
+        bare = self.r.random() < 0.12  # nothing tells where the content begins
+        out = [] if bare else [(f"<{tag}{name}>", 0)]
         if self.r.random() < 0.8:
             out += [("<h1>", 0), (self.words(1, 10), 1), ("</h1>", 0)]
         for _ in range(int(self.r.choice([1, 2, 4, 8, 15, 30, 80], p=[0.15, 0.15, 0.2, 0.2, 0.15, 0.1, 0.05]))):
@@ -322,9 +323,12 @@ class Invented:
                 out += [("<p><b>", 0), (self.words(1, 120), 1), ("<br>", 0)]
             if self.r.random() < 0.08:
                 out += self.junk(str(self.r.choice(["advert", "note", "share", "side", "form"])))
-        return [*out, (f"</{tag}>", 0)]
+        return out if bare else [*out, (f"</{tag}>", 0)]
 
     def page(self) -> tuple[str, list[int]]:
+        if self.r.random() < 0.05:  # no more than a few words or bare paragraphs
+            text = self.words(1, 200)
+            return str(self.r.choice([text, f"<p>{text}", f"<div>{text}</div>", f"<body>{text}"])), [1]
         parts = [("<!DOCTYPE html><html><head><title>", 0), (self.words(1, 8), -1), ("</title><style>p{margin:0}</style></head><body>", 0)]
         pick = lambda kinds, n: [x for _ in range(n) for x in self.junk(str(self.r.choice(kinds)))]
         boxes = self.r.integers(0, 3)
@@ -347,7 +351,7 @@ class Invented:
 _TRAINED: list[Labeller] = []
 
 
-def trained(pages: int = 500, seed: int = 17) -> Labeller:
+def trained(pages: int = 800, seed: int = 17) -> Labeller:
     """The labeller, trained once per process on ``pages`` invented pages."""
     if not _TRAINED:
         source = Invented(seed)
