@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vectors import lcg_uniforms
 
@@ -26,7 +27,7 @@ def unseeded(rank: int, seed: int | None = None) -> Initialiser:
 def custom(f: Callable[[int], list[float]]) -> Initialiser:
     """Any Python function of the id, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def each(ids: pd.Series) -> pd.Series:
         return ids.map(lambda i: [float(x) for x in f(int(i))])
 
