@@ -148,7 +148,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
                     rows.append(counts.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
-    got = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(count, "lang string, counts binary").collect())
+    counted = lambda df: df.select("lang", "text").mapInArrow(count, "lang string, counts binary").collect()
+    got = counted(sample)
+    for lang in {r["lang"] for r in sizes.collect()} - {r["lang"] for r in got}:  # rows that draw does not tell apart, or without letters
+        got += counted(slim.where(F.col("lang") == lang).limit(per_label))
+    got = sorted((r["lang"], bytes(r["counts"])) for r in got)
     counts = np.array([np.frombuffer(c, "<i4") for _, c in got]).reshape(len(got), BINS)
     return LanguageModel([lang for lang, _ in got], counts, per_language)
 

@@ -66,12 +66,12 @@ class InvertedFile:
 def search_block(rows: pa.Table, queries: pa.Table, pivots: np.ndarray, k: int, prefix: int, share: float) -> list[tuple]:
     """The k nearest found in one block for each of some queries, ties to the smaller vec_id."""
     vectors, ids, uids = matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["uid"].to_numpy()
-    asked = matrix(queries["v"])
+    asked = matrix(queries["asked"])
     index = InvertedFile(nearest_pivots(vectors, pivots, prefix), len(pivots))
     orders = nearest_pivots(asked, pivots, prefix)
     most = min(len(ids), max(int(np.ceil(share * len(ids))), 8 * k + 1))
     out = []
-    for q, (qid, quid) in enumerate(zip(queries["vec_id"].to_pylist(), queries["uid"].to_pylist(), strict=True)):
+    for q, (qid, quid) in enumerate(zip(queries["query_id"].to_pylist(), queries["query_uid"].to_pylist(), strict=True)):
         gain = index.closeness(orders[q])
         some = np.argpartition(-gain, most - 1)[:most]
         some = some[uids[some] != quid]
@@ -108,14 +108,15 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     deal = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = slim.select("vec_id", "uid", "v", deal(blocks, 1).alias("block"), every(chunks).alias("chunk"))
-    asked = slim.where("asks").select("vec_id", "uid", "v", deal(chunks, 2).alias("chunk"), every(blocks).alias("block"))
+    # New names: both sides come from one frame, whose columns the optimizer would else take for each other's.
+    asked = slim.where("asks").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query_uid"), F.col("v").alias("asked"), deal(chunks, 2).alias("q_chunk"), every(blocks).alias("q_block"))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found = search_block(rows, queries, at, k, min(prefix, len(at)), share) if rows.num_rows and queries.num_rows else []
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["query_id", "query_uid", "vec_id", "score"])
 
-    found = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, FOUND)
+    found = rows.groupBy("block", "chunk").cogroup(asked.groupBy("q_block", "q_chunk")).applyInArrow(meet, FOUND)
     order = Window.partitionBy("query_uid").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
