@@ -41,8 +41,8 @@ def from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 def from_events(events: DataFrame) -> DataFrame:
     """The ordered rating stream: user, the event type's place in the alphabet from 0, value / 100, event_id."""
     kinds = events.select("event_type").distinct()
-    ranked = kinds.withColumn("item", F.row_number().over(Window.orderBy("event_type")) - 1)  # a handful of types
-    return as_ratings(events.join(F.broadcast(ranked), "event_type"), "user_id", "item", F.col("value") / 100, "event_id")
+    ranked = kinds.withColumn("item", F.row_number().over(Window.orderBy("event_type")) - 1)
+    return as_ratings(events.join(ranked, "event_type"), "user_id", "item", F.col("value") / 100, "event_id")
 
 
 def stream_files(spark: SparkSession, path: str, per_batch: int = 1, schema: T.StructType = RATINGS) -> DataFrame:

@@ -43,7 +43,15 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``stored`` made and that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
