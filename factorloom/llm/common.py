@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import scratch, shared_dir, stored
+from ..sources.store import discard, scratch, shared_dir, stored
 
-__all__ = ["crc32_of", "own_name", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["crc32_of", "discard", "own_name", "scratch", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_name, stored
+from .common import discard, own_name, stored
 
 SEED = 42
 #: ASCII upper case to lower case; every other byte stays.
@@ -81,12 +81,12 @@ def links(prints: DataFrame, crowd: int = 16) -> DataFrame:
     variants = F.expr(
         "explode(transform(sequence(0, 63), v -> shiftleft(cast(v as bigint), 32) | (shiftrightunsigned(fp, 32 * (v div 32)) & 4294967295L & ~shiftleft(1L, v % 32))))"
     )
-    keyed = prints.select("fp", variants.alias("variant"))
-    sizes = keyed.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sizes = stored(sizes, "simhash-variants")
-    pairs = sizes.where("n = 2").select("a", "b").where(_near(F.col("a"), F.col("b"), 2))
-    shared = stored(keyed.join(sizes.where("n > 2").select("variant", "n"), "variant"), "simhash-members")
-    few = shared.where(F.col("n") <= crowd).select("variant", "fp")
+    # One shuffle of the variants serves both their counts and the join with these.
+    keyed = prints.select("fp", variants.alias("variant")).repartition("variant")
+    sizes = keyed.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(keyed.join(sizes, "variant"), "simhash-members")
+    pairs = shared.where("n = 2").groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b").where(_near(F.col("a"), F.col("b"), 2))
+    few = shared.where(F.col("n").between(3, crowd)).select("variant", "fp")
     x, y = few.alias("x"), few.alias("y")
     some = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp"), 2))
     some = some.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -112,11 +112,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("m").alias("a"), "b").distinct()
         large = stored(large, "large-star")
         # small star: u and its smaller neighbours go to the smallest of them
+        discard(least)
         least = stored(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m"), "least")
         small = large.join(least, large.b == least.u).where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
         edges = stored(small.unionByName(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), "components")
         mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        if edges.agg(F.count("*"), mark).first() == before.agg(F.count("*"), mark).first():
+        settled = edges.agg(F.count("*"), mark).first() == before.agg(F.count("*"), mark).first()
+        discard(before, large, least)
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
