@@ -1,6 +1,6 @@
 """Secret scans: three base patterns and a battery of randomness tests, DataFrame operations only.
 
-The battery looks at tokens of 20 to 4096 letters, digits and signs that may be
+The battery looks at tokens of 20 or more letters, digits and signs that may be
 encoded bytes, and infers the narrowest encoding whose alphabet they keep to: hex,
 base32, base64. Three tests ask whether a token could be such an encoding of random
 bytes: chi-squared of its symbols against a uniform alphabet, the number of runs
@@ -139,7 +139,7 @@ def scanned(df: DataFrame, text_col: str = "text") -> DataFrame:
     group = lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 12
     first = df.withColumn(uid, F.monotonically_increasing_id())
     first = first.withColumn(base, F.array_sort(F.concat(_kept(matches(text, ASSIGN), 0, group), _kept(matches(text, ACCESS), 1, lambda x: F.lit(True)), _kept(matches(text, HEX), 2, lambda x: F.lit(True)))))
-    first = stored(first.withColumn(tokens, F.filter(matches(text, TOKEN), lambda x: (F.length(x["hit"]) <= 4096) & x["hit"].rlike("[0-9]"))), "secret-spans")
+    first = stored(first.withColumn(tokens, F.filter(matches(text, TOKEN), lambda x: x["hit"].rlike("[0-9]"))), "secret-spans")
     free = first.select(F.col(uid).alias("u"), F.col(base).alias("base"), F.explode(tokens).alias("t")).where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
     free = free.select("u", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.hit").alias("hit"))
     tested = stored(battery(free), "secret-tests")
