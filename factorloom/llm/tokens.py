@@ -39,7 +39,7 @@ def powers(n: int, base: int) -> np.ndarray:
 class WordTable:
     """Ids of words by the words' 64-bit hashes: open addressing in arrays, so that many are looked up at once."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits = bits
         self.clear()
 
@@ -104,7 +104,7 @@ class CachedEncoder:
     ``LONGEST`` bytes are encoded each time.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 2_000_000):
+    def __init__(self, path: str, spaced: bool, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -192,7 +192,7 @@ class CachedEncoder:
         ids = ids.astype("<u4", copy=False).tobytes()
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def encode_each(self, column, chars: int = 1 << 20):
+    def encode_each(self, column, chars: int = 1 << 18):
         """The ids of each text of an Arrow column, some texts at a time."""
         some, held = [], 0
         for text in column:
