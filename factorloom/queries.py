@@ -164,8 +164,8 @@ def dsgd_strata_k4(spark, sf_dir):
 
 
 def _odd(spark, sf_dir):
-    """All customers as known users, and the ratings of users with odd ids."""
-    ids = table(spark, sf_dir, "customer").select(F.lit("user").alias("kind"), F.col("c_custkey").cast("int").alias("id"))
+    """All suppliers' keys as known users, and the ratings of users with odd ids."""
+    ids = table(spark, sf_dir, "supplier").select(F.lit("user").alias("kind"), F.col("s_suppkey").cast("int").alias("id"))
     return event_ratings(spark, sf_dir).where(F.pmod("user", F.lit(2)) == 1), ids.withColumn("vector", INIT(F.col("id") + 7))
 
 
@@ -339,8 +339,8 @@ def oracle_sql() -> dict[str, str]:
     delta_u, delta_v = "list_transform(v, lambda x: e * x)", "list_transform(u, lambda x: e * x)"
     pick = lambda first, n: "coalesce(" + ", ".join(f"CASE WHEN floor(-ln(1 - vec[{first + 2 * t}]) / 5.0 * {n}) < {n} THEN floor(-ln(1 - vec[{first + 2 * t}]) / 5.0 * {n}) END" for t in range(4)) + ")::INTEGER"
     odd = f'SELECT * FROM ({EVENTS}) WHERE "user" % 2 = 1'
-    known = f"""SELECT id, vec FROM (SELECT (id - 7)::INTEGER AS id, vec FROM ({init('SELECT c_custkey::INTEGER + 7 AS id FROM customer')})) UNION ALL
-SELECT id, vec FROM ({init('SELECT "user" AS id FROM r')}) WHERE id NOT IN (SELECT c_custkey FROM customer)"""
+    known = f"""SELECT id, vec FROM (SELECT (id - 7)::INTEGER AS id, vec FROM ({init('SELECT s_suppkey::INTEGER + 7 AS id FROM supplier')})) UNION ALL
+SELECT id, vec FROM ({init('SELECT "user" AS id FROM r')}) WHERE id NOT IN (SELECT s_suppkey FROM supplier)"""
     touched = """ WHERE kind = 'item' OR x.key IN (SELECT "user" FROM r)"""
     weights = 'SELECT *, count(*) OVER (PARTITION BY "user") AS wu, count(*) OVER (PARTITION BY item) AS wv, 0.02 / sqrt(1 + ((item % 2 - "user" % 2 + 2) % 2)) AS eta FROM (' + EVENTS + ")"
     retrained = f"SELECT * FROM (SELECT *, 0 AS turn FROM ({EVENTS}) WHERE {batch(4)} < 2 UNION ALL SELECT *, 1 AS turn FROM ({EVENTS}) WHERE {batch(4)} < 3)"
