@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
-from .tokens import store_of
+from .common import scratch, stored, table, tidied
+from .tokens import put_in_place, store_of
 
 FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -145,13 +145,14 @@ class Archive:
 
     def close(self) -> None:
         self.out.close()
-        self.store.move(self.draft, self.path)
+        put_in_place(self.store, self.draft, self.path)
 
 
 def write_arcs(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> DataFrame:
     """Write rows as ARC files, a file per task, of version 1 and 2 in turn; returns (file, records). Null html is empty, a null URL about:blank."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
 
+    @tidied
     def write(batches):
         from pyspark import TaskContext
 
@@ -181,6 +182,7 @@ INDEX = "file string, at long, size long, version int, id long, bytes long, dige
 def index_arcs(files: DataFrame, tasks: int) -> DataFrame:
     """A row per ARC record: where it lies, its id, and its payload's length and SHA-1."""
 
+    @tidied
     def read(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
@@ -220,6 +222,7 @@ def convert_arcs(index: DataFrame, uri: str, tasks: int, least: int = 1000) -> D
     decided = decided.select("file", "at", "size", "version", "digest", F.when(again, F.col("to_id")).alias("to_id"), F.when(again, F.concat_ws(":", F.col("to_file"), F.col("to_at"))).alias("to_place"))
     decided = decided.repartition(tasks, "file").sortWithinPartitions("file", "at")
 
+    @tidied
     def write(batches):
         from pyspark import TaskContext
 
@@ -258,6 +261,7 @@ PAGES = "page_id long, payload_bytes long, payload_digest string, record_type st
 def read_warcs(files: DataFrame, tasks: int) -> DataFrame:
     """A row per response or revisit record; a response's length and digest come from its payload, a revisit's from its headers."""
 
+    @tidied
     def read(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():

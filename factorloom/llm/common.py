@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, scratch, shared_dir, stored
 
-__all__ = ["crc32_of", "discard", "own_name", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["crc32_of", "discard", "own_name", "scratch", "shared_dir", "stored", "table", "tidied"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +31,25 @@ def own_name(df: DataFrame, stem: str) -> str:
 def crc32_of(col):
     """Unsigned CRC-32 of a column's text form."""
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def tidy() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(f):
+    """For functions of mapInArrow: when a task ends, its worker waits for the next one without the task's free memory."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run

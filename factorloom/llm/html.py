@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidied
 
 #: Tags that end the block before them and begin another.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option optgroup p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -390,6 +390,7 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "main_text", label
     """
     at, labeller = df.columns.index(html_col), labeller or trained()
 
+    @tidied
     def each(batches):
         for batch in batches:
             texts, some, held = [], [], 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc32_of, stored, table
+from .common import crc32_of, stored, table, tidied
 
 BINS = 1 << 13
 BLOCK = 1 << 20
@@ -60,12 +60,11 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     return counts
 
 
-def weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the normalised TF-IDF vector."""
-    at = np.flatnonzero(counts)
-    w = (1 + np.log(counts[at])) * idf[at]
+def weights(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The normalised TF-IDF values of the n-grams at some places."""
+    w = (1 + np.log(counts)) * idf[at]
     norm = np.sqrt((w * w).sum())
-    return at, w / norm if norm else w
+    return w / norm if norm else w
 
 
 def clustered(rows: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
@@ -86,13 +85,16 @@ def clustered(rows: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarr
 class LanguageModel:
     """Centroids, their languages, inverse document frequencies, and the rejection limits by language and band."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, per_language: int = 4, seed: int = 7):
-        known = sorted(set(langs))
-        self.idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        rows = np.zeros(counts.shape, np.float32)
-        for row, c in zip(rows, counts, strict=True):
-            at, w = weights(c, self.idf)
-            row[at] = w
+    def __init__(self, langs: list[str], counts: list[np.ndarray], per_language: int = 4, seed: int = 7):
+        """counts: for each text the places of its n-grams and their counts, as two rows."""
+        known, seen = sorted(set(langs)), np.zeros(BINS, np.int64)
+        for at, _ in counts:
+            seen[at] += 1
+        self.idf = (np.log((1 + len(langs)) / (1 + seen)) + 1).astype(np.float32)
+        rows = np.zeros((len(counts), BINS), np.float32)
+        for row, (at, c) in zip(rows, counts, strict=True):
+            row[at] = weights(at, c, self.idf)
+        sizes = np.array([c.sum() for _, c in counts], np.int64)
         of, names = np.array([known.index(x) for x in langs]), []
         centres = []
         for k, name in enumerate(known):
@@ -103,7 +105,7 @@ class LanguageModel:
         self.centres = np.concatenate(centres) if centres else np.zeros((0, BINS), np.float32)
         # A band's limit: a part of the low end of what the sample's texts of this band reach.
         near = np.stack([(rows @ self.centres[self.names == k].T).max(1) for k in range(len(known))], 1) if known else np.zeros((0, 0))
-        band, self.limits = np.searchsorted(BANDS, counts.sum(1) // 3, side="right"), np.zeros((len(known), len(BANDS) + 1))
+        band, self.limits = np.searchsorted(BANDS, sizes // 3, side="right"), np.zeros((len(known), len(BANDS) + 1))
         low = 0.0
         for k in range(len(known)):
             for b in range(len(BANDS) + 1):
@@ -116,7 +118,8 @@ class LanguageModel:
         counts = ngram_counts(text)
         if counts is None or not self.langs:
             return UND, 0.0, True
-        at, w = weights(counts, self.idf)
+        at = np.flatnonzero(counts)
+        w = weights(at, counts[at], self.idf)
         near = self.centres[:, at] @ w.astype(np.float32)
         best = int(near.argmax())
         k, score = self.names[best], float(np.clip(near[best], 0, 1))
@@ -139,13 +142,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     drawn = Window.partitionBy("lang").orderBy("draw", "text")
     sample = thin.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_label).select("lang", "text")
 
+    @tidied
     def count(batches):
         for batch in batches:
             langs, rows = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if (counts := ngram_counts(text.as_py())) is not None:
+                    at = np.flatnonzero(counts)
                     langs.append(lang)
-                    rows.append(counts.astype("<i4").tobytes())
+                    rows.append(np.concatenate([at, counts[at]]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
     counted = lambda df: df.select("lang", "text").mapInArrow(count, "lang string, counts binary").collect()
@@ -153,7 +158,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     for lang in {r["lang"] for r in sizes.collect()} - {r["lang"] for r in got}:  # rows that draw does not tell apart, or without letters
         got += counted(slim.where(F.col("lang") == lang).limit(per_label))
     got = sorted((r["lang"], bytes(r["counts"])) for r in got)
-    counts = np.array([np.frombuffer(c, "<i4") for _, c in got]).reshape(len(got), BINS)
+    counts = [np.frombuffer(c, "<i4").reshape(2, -1) for _, c in got]
     return LanguageModel([lang for lang, _ in got], counts, per_language)
 
 
@@ -165,6 +170,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", names:
     """
     at = df.columns.index(text_col)
 
+    @tidied
     def each(batches):
         for batch in batches:
             made = [model.predict(t.as_py()) for t in batch.column(at)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import own_name, stored, table
+from .common import own_name, stored, table, tidied
 from .tokens import encoder
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # times, ((length, how many), ...)
@@ -185,6 +185,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id:
     """A row per piece; rank counts the pieces of its length within its task (chunk)."""
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
+    @tidied
     def cut(batches):
         from pyspark import TaskContext
 
@@ -220,6 +221,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capac
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}  # at most capacity rows
     where = places(pack_counts(totals, capacity), capacity)
 
+    @tidied
     def place(batches):
         for batch in batches:
             size, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, table
+from .common import crc32_of, table, tidied
 
 #: Words: runs of word characters, or of signs.
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -137,6 +137,7 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", out: str =
     """
     at = df.columns.index(text_col)
 
+    @tidied
     def each(batches):
         for batch in batches:
             made = [model.scores([t.as_py()])[0] for t in batch.column(at)]

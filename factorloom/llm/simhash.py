@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, own_name, stored
+from .common import discard, own_name, stored, tidied
 
 SEED = 42
 #: ASCII upper case to lower case; every other byte stays.
@@ -64,6 +64,7 @@ def with_fingerprints(df: DataFrame, text_col: str, out: str, k: int = 3) -> Dat
     """
     at = df.columns.index(text_col)
 
+    @tidied
     def each(batches):
         for batch in batches:
             made = np.fromiter((fingerprint(t.as_py(), k) for t in batch.column(at)), "<u8", batch.num_rows)

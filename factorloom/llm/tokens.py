@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, stored, table
+from .common import scratch, stored, table, tidied
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 LONGEST = 64
@@ -221,6 +221,13 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def put_in_place(store: fs.FileSystem, draft: str, path: str) -> None:
+    """Give a finished draft its name, over what an earlier attempt of the task left there."""
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+    store.move(draft, path)
+
+
 PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part long, ids_uri string, docs_uri string, docs long, tokens long, sequences long"
 
@@ -273,6 +280,7 @@ def write_token_files(df: DataFrame, uri: str, id_col: str = "doc_id", text_col:
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     slim = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
+    @tidied
     def write(batches):
         from pyspark import TaskContext
 
@@ -303,7 +311,7 @@ def write_token_files(df: DataFrame, uri: str, id_col: str = "doc_id", text_col:
             out.close()
             index.close()
         for draft, name in zip(drafts, names, strict=True):
-            store.move(draft, name)
+            put_in_place(store, draft, name)
         row = [part, f"{uri}/ids-{part:08d}.arrow", f"{uri}/docs-{part:08d}.arrow", docs, at, out.written]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "ids_uri", "docs_uri", "docs", "tokens", "sequences"])
 
@@ -337,6 +345,7 @@ def read_ids(ids_uri: str, docs_uri: str):
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
 
+    @tidied
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
