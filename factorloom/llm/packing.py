@@ -25,18 +25,26 @@ Pattern = tuple[int, tuple[tuple[int, int], ...]]  # times, ((length, how many),
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Least number of bins: all lengths' sum, or large ones that exclude each other and what must go beside them."""
-    sizes = np.array(sorted(counts), np.int64)
-    if not sizes.size:
+    """Least number of bins: all lengths' sum, or large ones that exclude each other and what must go beside them.
+
+    For each length t of up to half the capacity: lengths over capacity - t need bins
+    of their own, those over half need one each, and those from t to half go into
+    what the latter leave free.
+    """
+    if not counts:
         return 0
+    sizes = np.array(sorted(counts), np.int64)
     many = np.array([counts[int(s)] for s in sizes], np.int64)
-    total = sizes * many
-    best = -(-int(total.sum()) // capacity)
-    for least in sizes[sizes <= capacity // 2]:
-        alone, half, small = sizes > capacity - least, (sizes <= capacity - least) & (2 * sizes > capacity), (2 * sizes <= capacity) & (sizes >= least)
-        free = int(many[half].sum()) * capacity - int(total[half].sum())
-        best = max(best, int(many[alone | half].sum()) + max(0, -(-(int(total[small].sum()) - free) // capacity)))
-    return max(best, int(many[2 * sizes > capacity].sum()))
+    number, total = (np.concatenate([[0], np.cumsum(x)]) for x in (many, many * sizes))
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    large = int(number[-1] - number[half])
+    best = max(large, -(-int(total[-1]) // capacity))
+    if half:
+        least = np.arange(half)
+        alone = np.maximum(half, np.searchsorted(sizes, capacity - sizes[:half], side="right"))
+        free = (number[alone] - number[half]) * capacity - (total[alone] - total[half])
+        best = max(best, int((large + np.maximum(0, -(-(total[half] - total[least] - free) // capacity))).max()))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -76,49 +84,52 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(times, items) for group in open_.values() for times, items in group]
 
 
-def fillings(counts: dict[int, int], room: int, most: int, steps: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+def fillings(counts: dict[int, int], room: int, most: int, steps: int = 600) -> list[tuple[tuple[int, ...], int]]:
     """Undominated fillings of room from what counts holds, least waste first: (lengths, waste).
 
     A filling is dropped if another length left over would still fit (it is not
     maximal) or if one of its lengths can be exchanged for a longer one left over
-    that fits: the exchanged filling dominates it.
+    that fits: the exchanged filling dominates it. ``steps`` bounds the search.
     """
-    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    negative = [-s for s in sizes]
     found: dict[tuple[int, ...], int] = {}
     budget = [steps]
 
+    def spare(size: int, chosen: tuple[int, ...]) -> bool:
+        return counts.get(size, 0) > chosen.count(size)
+
     def undominated(chosen: tuple[int, ...], waste: int) -> bool:
-        left = lambda s: counts[s] - chosen.count(s)
-        if any(s <= waste and left(s) > 0 for s in reversed(sizes)):
+        if any(spare(s, chosen) for s in sizes[bisect_left(negative, -waste) :]):
             return False
-        return not any(s > c and s - c <= waste and left(s) > 0 for c in set(chosen) for s in sizes)
+        return not any(spare(c + d, chosen) for c in set(chosen) for d in range(1, waste + 1))
 
     def search(k: int, chosen: tuple[int, ...], left: int) -> None:
         budget[0] -= 1
-        if budget[0] < 0 or len(found) >= most and 0 in found.values():
-            return
-        grown = False
-        while k < len(sizes) and budget[0] >= 0:
-            size = sizes[k]
-            if size <= left and chosen.count(size) < counts[size]:
+        if spare(left, chosen):
+            found[(*chosen, left)] = 0
+        k, grown = max(k, bisect_left(negative, -left)), False
+        while k < len(sizes) and budget[0] > 0 and len(found) < 4 * most:
+            if spare(sizes[k], chosen):
                 grown = True
-                search(k, (*chosen, size), left - size)
+                search(k, (*chosen, sizes[k]), left - sizes[k])
             k += 1
-        if not grown and undominated(chosen, left):
+        if not grown and budget[0] > 0 and undominated(chosen, left):
             found[chosen] = left
 
     search(0, (), room)
+    search = None  # a function that refers to itself would keep all this until the garbage is collected
     if not found:  # the budget ended first: fill greedily, which is maximal
         chosen, left = [], room
         for size in sizes:
-            while size <= left and chosen.count(size) < counts[size]:
-                chosen.append(size)
-                left -= size
+            each = min(left // size, counts[size])
+            chosen += [size] * each
+            left -= each * size
         found[tuple(chosen)] = left
     return sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0]))[:most]
 
 
-def pack_counts(counts: dict[int, int], capacity: int, *, nodes: int = 400, width: int = 6) -> list[Pattern]:
+def pack_counts(counts: dict[int, int], capacity: int, *, nodes: int = 200, width: int = 4) -> list[Pattern]:
     """Patterns that hold each length as often as counts says, in as few bins as found.
 
     Best-fit decreasing is the first incumbent; if it meets the lower bound it is
@@ -128,34 +139,45 @@ def pack_counts(counts: dict[int, int], capacity: int, *, nodes: int = 400, widt
     every node best-fit completes the rest, which may become the incumbent. ``nodes``
     bounds the search on the driver: past it the best incumbent is the answer.
     """
-    counts = {s: n for s, n in counts.items() if n}
-    best, least = best_fit(counts, capacity), lower_bound(counts, capacity)
+    left = {s: n for s, n in counts.items() if n}
     bins = lambda patterns: sum(t for t, _ in patterns)
-    total = sum(s * n for s, n in counts.items())
-    state = {"best": best, "n": bins(best), "nodes": nodes}
+    total, least, best = sum(s * n for s, n in left.items()), lower_bound(left, capacity), best_fit(left, capacity)
+    state, done = {"best": best, "n": bins(best), "nodes": nodes}, []
+
+    def take(items: dict[int, int], times: int) -> None:
+        for s, k in items.items():
+            left[s] = left.get(s, 0) - times * k
+            if not left[s]:
+                del left[s]
 
-    def branch(left: dict[int, int], done: list[Pattern], used: int, waste: int) -> None:
+    def branch(used: int, waste: int) -> None:
         if state["n"] <= least or state["nodes"] <= 0:
             return
         state["nodes"] -= 1
         rest = best_fit(left, capacity)
         if used + bins(rest) < state["n"]:
-            state["best"], state["n"] = done + rest, used + bins(rest)
+            state["best"], state["n"] = [*done, *rest], used + bins(rest)
+        rest = None  # not to be held while the branches are searched
         if not left or used + lower_bound(left, capacity) >= state["n"]:
             return
         largest = max(left)
-        beside = left | {largest: left[largest] - 1}
-        for chosen, spare in fillings({s: n for s, n in beside.items() if n}, capacity - largest, width):
+        take({largest: 1}, 1)
+        around = fillings(left, capacity - largest, width)
+        take({largest: 1}, -1)
+        for chosen, spare in around:
             items: dict[int, int] = {largest: 1}
             for s in chosen:
                 items[s] = items.get(s, 0) + 1
             times = min(left[s] // k for s, k in items.items())
             if waste + times * spare > (state["n"] - 1) * capacity - total:
                 continue
-            after = {s: n - times * items.get(s, 0) for s, n in left.items() if n > times * items.get(s, 0)}
-            branch(after, [*done, (times, tuple(items.items()))], used + times, waste + times * spare)
+            take(items, times)
+            done.append((times, tuple(items.items())))
+            branch(used + times, waste + times * spare)
+            done.pop()
+            take(items, -times)
 
-    branch(counts, [], 0, 0)
+    branch(0, 0)
     return state["best"]
 
 
