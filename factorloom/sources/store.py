@@ -73,12 +73,14 @@ class VersionedState:
     def at(self, version: int, name: str = "state") -> str:
         return f"{self.path}/{name}/v={version}"
 
+    def newest(self, version: int, name: str = "state") -> int | None:
+        """The newest version that was written whole, up to this one."""
+        tried = range(version, max(-2, version - self.keep - 1), -1)
+        return next((v for v in tried if exists(self.spark, f"{self.at(v, name)}/_SUCCESS")), None)
+
     def read(self, version: int, name: str = "state") -> DataFrame | None:
-        """The newest version up to this one; None if there is none."""
-        for v in range(version, max(-2, version - self.keep - 1), -1):
-            if exists(self.spark, f"{self.at(v, name)}/_SUCCESS"):
-                return self.spark.read.parquet(self.at(v, name))
-        return None
+        found = self.newest(version, name)
+        return None if found is None else self.spark.read.parquet(self.at(found, name))
 
     def write(self, df: DataFrame, version: int, name: str = "state") -> DataFrame:
         """Write a version and drop the one that no restart can need any more."""

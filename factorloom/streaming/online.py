@@ -2,6 +2,8 @@
 
 Each micro-batch reads the state of the batch before, and writes its own under its
 number, so a batch that runs again after a failure gives the same and nothing twice.
+Only the vectors that a batch changes are written with it. Now and then they are
+merged to a new base, so the cost of a batch follows the batch and not the model.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.initialisers import Initialiser, pseudo_random
 from ..functions.updates import SGD, Updater
-from ..operators.state import merged
+from ..operators.state import bag_union, last_values
 from ..operators.train import als, offline_dsgd
 from ..plans.strata import descend, start
-from ..sources.store import History, VersionedState, stored
+from ..sources.store import History, VersionedState, delete, stored
 
 
 def due(batch: int, every: int | None) -> bool:
@@ -45,44 +48,59 @@ class Online:
     retrain: str = "DSGD"
     retrain_sweeps: int = 10
     path: str | None = None
+    compact_every: int = 8
     state: VersionedState = field(init=False)
     history: History = field(init=False)
 
     def __post_init__(self):
         due(0, self.retrain_every)
+        due(0, self.compact_every)
         if self.retrain not in ("DSGD", "ALS"):
             raise ValueError("retrain is DSGD or ALS")
         self.init, self.updater = self.init or pseudo_random(self.rank), self.updater or SGD(self.eta)
-        self.state = VersionedState(self.spark, self.path and f"{self.path}/state")
+        self.state = VersionedState(self.spark, self.path and f"{self.path}/state", keep=2 * self.compact_every + 1)
         self.history = History(self.spark, self.path and f"{self.path}/history")
 
     def process(self, batch: DataFrame, number: int) -> DataFrame:
         batch = stored(batch.select("user", "item", "rating", "seq"), "batch")
         if self.retrain_every not in (None, -1):
             self.history.append(batch, number)
-        before = self.state.read(number - 1)
         if due(number, self.retrain_every):
             every = self.history.upto(number)
             if self.retrain == "ALS":
                 after = als(every, self.rank, self.retrain_sweeps)
             else:
                 after = offline_dsgd(every, self.init, self.updater, blocks=self.blocks, sweeps=self.retrain_sweeps)
-            updates = after = stored(after, "retrained")
-        else:
-            known = before
-            if known is not None:  # only the vectors that the batch needs move
-                ids = start(batch, self.init).select("kind", "id")
-                known = known.join(ids, ["kind", "id"], "left_semi")
-            updates = stored(offline_dsgd(batch, self.init, self.updater, known=known, blocks=self.blocks, updates_only=True), "updates")
-            after = updates if before is None else merged(before, updates, ["kind", "id"])
-        self.state.write(after, number)
-        return self.state.write(updates, number, "updates")
+            self._rebase(after, number)
+            return self.state.write(self.state.read(number, "base"), number, "updates")
+        known = self.factors(number - 1)
+        if known is not None:  # only the vectors that the batch needs move
+            known = known.join(start(batch, self.init).select("kind", "id"), ["kind", "id"], "left_semi")
+        made = offline_dsgd(batch, self.init, self.updater, known=known, blocks=self.blocks, updates_only=True)
+        updates = self.state.write(made, number, "updates")
+        if due(number, self.compact_every):
+            self._rebase(self.factors(number), number)
+        return updates
+
+    def _rebase(self, df: DataFrame, number: int) -> None:
+        """Write a new base; the one before stays for a batch that runs again, older ones go."""
+        self.state.write(df, number, "base")
+        last = self.state.newest(number - 1, "base")
+        if last is not None and (older := self.state.newest(last - 1, "base")) is not None:
+            delete(self.spark, self.state.at(older, "base"))
 
     def updates(self, number: int) -> DataFrame:
         return self.spark.read.parquet(self.state.at(number, "updates"))
 
     def factors(self, number: int) -> DataFrame | None:
-        return self.state.read(number)
+        """All vectors after a batch: the newest base, and of the later updates the last of each id."""
+        base = self.state.newest(number, "base")
+        first = 0 if base is None else base + 1
+        parts = [self.spark.read.parquet(self.state.at(base, "base")).withColumn("v", F.lit(base))] if base is not None else []
+        parts += [self.updates(n).withColumn("v", F.lit(n)) for n in range(first, number + 1)]
+        if len(parts) < 2:
+            return parts[0].drop("v") if parts else None
+        return last_values(bag_union(*parts), ["kind", "id"], "v")
 
     def start(self, ratings: DataFrame, checkpoint: str, **trigger):
         """Start the query over a stream of ratings; by default it takes what is there and ends."""

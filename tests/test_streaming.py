@@ -130,3 +130,14 @@ def test_d25_d26_d31_trigger_starts_both_sides_anew(spark):
     close(changed, as_dict(offline_dsgd(first, pseudo_random(3), SGD(0.05))))
     server.feed(second, trigger=True)
     close(as_dict(server.factors), as_dict(offline_dsgd(from_memory(spark, ROWS[:60]), pseudo_random(3), SGD(0.05), sweeps=2)))
+
+
+def test_compaction_changes_nothing(spark):
+    r = from_memory(spark, ROWS)
+    models = [Online(spark, rank=3, eta=0.05, compact_every=n) for n in (1, 2, 50)]
+    for k in range(5):
+        for model in models:
+            model.process(r.where(F.floor(F.col("seq") / 30) == k), k)
+    want = as_dict(offline_dsgd(r, pseudo_random(3), SGD(0.05)))
+    for model in models:
+        close(as_dict(model.factors(4)), want)
