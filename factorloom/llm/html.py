@@ -386,7 +386,8 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "main_text", label
     """df with each whole page's main text; empty where html is null, empty or without content.
 
     Character references are decoded, white space within a block is one space,
-    and blocks follow in the page's order. Bare text without tags is parsed like any page.
+    and blocks follow in the page's order. Bare text without tags is parsed like any
+    page. Repeated rows and all columns stay; an empty table gives an empty result.
     """
     at, labeller = df.columns.index(html_col), labeller or trained()
 

@@ -165,7 +165,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """df with the predicted language, its score and whether the text is rejected.
 
-    A text that is null or has no letter is ``und``, 0, rejected. The model, at
+    A text that is null or has no letter is ``und``, 0, rejected; so is every text if
+    the model learnt no language. Ties go to the first centroid. Repeated rows and all
+    columns stay; an empty table gives an empty result. The model, at
     most (languages x per_language + 1) x BINS floats, travels with the function.
     """
     at = df.columns.index(text_col)

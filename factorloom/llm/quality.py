@@ -132,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, learns, id_col: str = "doc_id", text
 def score(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """df with the probability that a whole text is of good quality.
 
-    Null and empty texts get the score of a text without words. The model, at most
+    Null and empty texts get the score of a text without words, equal texts equal
+    scores; repeated rows, null ids and all columns stay; an empty table gives an empty
+    result; texts of any length are read whole. Without a labelled row all scores are
+    0.5, with one label alone they are that label. The model, at most
     12,000 words and their vectors, travels with the function.
     """
     at = df.columns.index(text_col)

@@ -157,7 +157,12 @@ def told(spans: Column) -> Column:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of df: id_col, n_assign, n_access, n_hex, base_sha256, spans."""
+    """A row per row of df: id_col, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have no span: zeros, the hash of nothing, an empty string.
+    Repeated rows and null ids stay; an empty table gives an empty result; a text of
+    any length is scanned whole. Columns other than the two named are not read.
+    """
     found, _, spans = scanned(df.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "body")), "text" if id_col != "text" else "body")
     s = F.col(spans)
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
@@ -166,7 +171,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """df with every span of its texts replaced by mask; overlapping spans are one. Null texts stay null."""
+    """df with every span of its texts replaced by mask; overlapping spans are one.
+
+    Null texts stay null and empty ones empty; all rows and columns come back, whatever their names.
+    """
     found, uid, spans = scanned(df, text_col)
     text, size = F.col(text_col), F.length(text_col)
     step = lambda done, s: F.struct(

@@ -274,7 +274,8 @@ def write_token_files(df: DataFrame, uri: str, id_col: str = "doc_id", text_col:
 
     Ids are range-partitioned (ties by text; null ids come first), so file n holds
     smaller ids than file n + 1, each padded to whole sequences with the mask 0. A
-    null text is empty: only its end id is written. A task writes under a name of
+    null or empty text is its end id alone; repeated rows are documents of their own;
+    an empty table gives no document; other columns are not read. A task writes under a name of
     its own and moves the files into place, so a task that runs again does no harm.
     """
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
