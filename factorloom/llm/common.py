@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import glob
+import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, scratch, shared_dir, stored
 
-__all__ = ["crc32_of", "discard", "own_name", "scratch", "shared_dir", "stored", "table", "tidied"]
+__all__ = ["crc32_of", "discard", "one_thread", "own_name", "scratch", "shared_dir", "stored", "table", "tidied"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +46,38 @@ def tidy() -> None:
         pass
 
 
+@functools.cache
+def blas():
+    """Functions that get and set the number of threads of numpy's own BLAS; None if it is another one."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for pattern in ("scipy_openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            with contextlib.suppress(AttributeError):
+                return getattr(lib, pattern.format("get")), getattr(lib, pattern.format("set"))
+    return None
+
+
+@contextlib.contextmanager
+def one_thread():
+    """Small matrices on one thread: a task has one core, and threads that wait for each other spin."""
+    held = blas()[0]() if blas() else 0
+    if held:
+        blas()[1](1)
+    try:
+        yield
+    finally:
+        if held:
+            blas()[1](held)
+
+
 def tidied(f):
-    """For functions of mapInArrow: when a task ends, its worker waits for the next one without the task's free memory."""
+    """For functions of mapInArrow: numpy keeps to one thread, and when a task ends its worker waits for the next one without the task's free memory."""
 
     @functools.wraps(f)
     def run(batches):
         try:
-            yield from f(batches)
+            with one_thread():
+                yield from f(batches)
         finally:
             tidy()
 

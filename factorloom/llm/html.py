@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tidied
+from .common import one_thread, table, tidied
 
 #: Tags that end the block before them and begin another.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option optgroup p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -358,7 +358,8 @@ def trained(pages: int = 800, seed: int = 17) -> Labeller:
         made = [source.page() for _ in range(pages)]
         rows = [(features(blocks(h)), np.array(y, np.float32)) for h, y in made]
         rows = [(x, y) for x, y in rows if len(x)]
-        _TRAINED.append(Labeller().train([x for x, _ in rows], [y for _, y in rows]))
+        with one_thread():
+            _TRAINED.append(Labeller().train([x for x, _ in rows], [y for _, y in rows]))
     return _TRAINED[0]
 
 

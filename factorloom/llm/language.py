@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc32_of, stored, table, tidied
+from .common import crc32_of, one_thread, stored, table, tidied
 
 BINS = 1 << 13
 BLOCK = 1 << 20
@@ -159,7 +159,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         got += counted(slim.where(F.col("lang") == lang).limit(per_label))
     got = sorted((r["lang"], bytes(r["counts"])) for r in got)
     counts = [np.frombuffer(c, "<i4").reshape(2, -1) for _, c in got]
-    return LanguageModel([lang for lang, _ in got], counts, per_language)
+    with one_thread():
+        return LanguageModel([lang for lang, _ in got], counts, per_language)
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

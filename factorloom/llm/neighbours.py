@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import one_thread, stored, table
 
 FOUND = "query_id long, query_uid long, vec_id long, score double"
 
@@ -112,7 +112,8 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     asked = slim.where("asks").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query_uid"), F.col("v").alias("asked"), deal(chunks, 2).alias("q_chunk"), every(blocks).alias("q_block"))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found = search_block(rows, queries, at, k, min(prefix, len(at)), share) if rows.num_rows and queries.num_rows else []
+        with one_thread():
+            found = search_block(rows, queries, at, k, min(prefix, len(at)), share) if rows.num_rows and queries.num_rows else []
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["query_id", "query_uid", "vec_id", "score"])
 

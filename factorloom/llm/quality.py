@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, table, tidied
+from .common import crc32_of, one_thread, table, tidied
 
 #: Words: runs of word characters, or of signs.
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns, id_col: str = "doc_id", text
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, chars))
     got = sorted((r["id"], r["text"], r["y"]) for r in short.join(F.broadcast(drawn), "id").limit(2 * rows).collect())
     got.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-    return QualityModel([r[1] for r in got], np.array([r[2] for r in got], np.float64))
+    with one_thread():
+        return QualityModel([r[1] for r in got], np.array([r[2] for r in got], np.float64))
 
 
 def score(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
