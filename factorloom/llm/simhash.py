@@ -11,6 +11,10 @@ members of a variant with more than ``crowd`` of them go another, equally exact
 way: two fingerprints are within two bits of each other if and only if some
 64-bit word is within one bit of both. Each member lists its 65 such words, and
 every word links its members to their smallest: edges in proportion to members.
+
+``drop_near_duplicates`` takes no fingerprints: within two bits of each other are few
+of the texts of similarity 0.8. It finds all pairs that are alike by their sets of
+shingles: those have one of each set's first shingles in common, in any one order.
 """
 
 from __future__ import annotations
@@ -127,16 +131,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def grouped(prints: DataFrame, id_col: str) -> DataFrame:
-    """(fp, component_id, keep) per distinct ``fp`` of prints (fp, uid, id_col).
+def folded_of(prints: DataFrame, id_col: str) -> DataFrame:
+    """(fp, first) per distinct ``fp``, stored: first is the smallest (none, id, uid), a null id last."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "uid"))
+    return stored(prints.groupBy("fp").agg(first.alias("first")), "simhash-folded")
+
+
+def grouped(folded: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id, keep) per row of folded (fp, first), the edges (a, b) being links of fps.
 
     component_id is the smallest id reachable by links; keep is the uid of the one
     row that stands for the component: the smallest id, then the smallest uid, a
     null id last.
     """
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "uid"))
-    folded = stored(prints.groupBy("fp").agg(first.alias("first")), "simhash-folded")
-    roots = components(links(folded.select("fp")))
+    roots = components(edges)
     rooted = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "simhash-rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
@@ -153,19 +161,134 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = with_fingerprints(slim, "text", "fp", k).select("id", "fp", F.monotonically_increasing_id().alias("uid"))
     prints = stored(prints, "simhash-prints")
-    found = prints.join(grouped(prints, "id"), "fp")
+    folded = folded_of(prints, "id")
+    found = prints.join(grouped(folded, links(folded.select("fp"))), "fp")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep")).alias("is_kept"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """df with exactly one row of each component: the smallest id, or one of its repeated rows.
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, k), "<u8"))
+
+
+def with_digests(df: DataFrame, text_col: str, out: str, k: int) -> DataFrame:
+    """df with a hash of each text's set of shingles; texts without words have one of their own."""
+    at = df.columns.index(text_col)
+
+    @tidied
+    def each(batches):
+        for batch in batches:
+            made = np.fromiter((xxhash.xxh64_intdigest(shingle_set(t.as_py(), k).tobytes(), SEED) for t in batch.column(at)), "<u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view("<i8"))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)]))
+
+
+def with_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(fp, members) of texts (fp, text): each text's set of shingles."""
 
-    All columns of df come back, whatever their names.
+    @tidied
+    def each(batches):
+        for batch in batches:
+            for fp, text in zip(batch.column(0), batch.column(1), strict=True):
+                held = pa.array(shingle_set(text.as_py(), k).view("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["fp", "members"])
+
+    return texts.mapInArrow(each, "fp long, members array<long>")
+
+
+def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in three or more of about ``rows`` drawn texts, in order, and in how many."""
+    every = max(1, -(-texts.count() // rows))
+    drawn = with_sets(texts.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0), k)
+    seen = drawn.select(F.explode("members").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(1 << 20).toArrow()
+    common, times = (np.asarray(seen.column(c).to_numpy(), "<i8") for c in ("h", "n"))
+    order = np.argsort(common.view("<u8"))
+    return common.view("<u8")[order], times[order]
+
+
+def with_prefixes(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(fp, h, at, n): the shingles, of n, that come first in an order that is the same for all texts.
+
+    Sets of similarity ``least`` or more have one of these in common, whatever the
+    order. Here the shingles that a sample shows to be common come last, which
+    spares pairs and decides nothing.
+    """
+    common, times = common_shingles(texts, k)
+
+    def first(text):
+        held = shingle_set(text, k)
+        n = len(held)
+        rank = np.zeros(n, "<i8")
+        if len(common):
+            place = np.minimum(np.searchsorted(common, held), len(common) - 1)
+            rank = np.where(common[place] == held, times[place], 0)
+        return held[np.lexsort((held, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else held, n
+
+    @tidied
+    def each(batches):
+        for batch in batches:
+            made = [first(t.as_py()) for t in batch.column(1)]
+            counts = [len(h) for h, _ in made]
+            if not sum(counts):
+                continue
+            columns = [
+                np.repeat(batch.column(0).to_numpy(), counts),
+                np.concatenate([h for h, _ in made]).view("<i8"),
+                np.concatenate([np.arange(c, dtype="<i4") for c in counts]),
+                np.repeat(np.array([n for _, n in made], "<i4"), counts),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "at", "n"])
+
+    return texts.mapInArrow(each, "fp long, h long, at int, n int")
+
+
+def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
+    """Edges (a, b) over texts (fp, text), one for each fp, whose components are those of all pairs with Jaccard similarity ``least`` or more.
+
+    Each edge is verified on the whole sets. A shingle's members are first compared
+    with one of them alone, in ``stars`` turns with another one each; then all pairs
+    that these edges do not connect yet.
+    """
+    keyed = with_prefixes(texts, k, least).repartition("h")
+    sizes = keyed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(keyed.join(sizes, "h").select("h", "fp", "at", "n"), "similar-members")
+    sets = stored(with_sets(texts.join(shared.select("fp").distinct(), "fp", "left_semi"), k), "similar-sets")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+
+    def verified(pairs):
+        both = F.size(F.array_intersect("x", "y"))
+        held = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "similar-pairs")
+        return stored(held.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b"), "similar-edges")
+
+    # What is left of both sets from the first common shingle on must suffice.
+    fits = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & fits
+    edges, rooted = None, shared.withColumn("root", F.col("fp"))
+    for turn in range(stars):
+        hub = rooted.groupBy("h").agg(F.min_by(F.struct("fp", "at", "n", "root"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", "hub.*")
+        more = verified(rooted.alias("x").join(hub.alias("y"), apart))
+        edges = more if edges is None else edges.unionByName(more)
+        roots = components(edges).withColumnRenamed("node", "fp")
+        rooted = shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+        rooted = stored(rooted.join(mixed, "h", "left_semi"), "similar-rooted")
+    rest = verified(rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.fp") < F.col("y.fp"))))
+    return rest if edges is None else edges.unionByName(rest)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+    """df with exactly one row of each group of near duplicates: the smallest id, or one of its repeated rows.
+
+    Two rows are linked if the Jaccard similarity of their sets of k-word shingles is
+    ``least`` or more; no such pair is missed. Texts without words link with each
+    other. All columns of df come back, whatever their names.
     """
     fp, uid = own_name(df, "fp"), own_name(df, "uid")
-    marked = stored(with_fingerprints(df, text_col, fp, k).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows")
-    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
-    keep = grouped(prints, "id").select(F.col("keep").alias(uid)).distinct()
+    marked = stored(with_digests(df, text_col, fp, k).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows")
+    folded = folded_of(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")), "id")
+    texts = marked.join(folded.select(F.col("first.uid").alias(uid)), uid, "left_semi").select(F.col(fp).alias("fp"), F.col(text_col).alias("text"))
+    keep = grouped(folded, similar(texts, k, least)).select(F.col("keep").alias(uid)).distinct()
     return marked.join(keep, uid, "left_semi").select(*df.columns)
 
 

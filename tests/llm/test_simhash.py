@@ -104,6 +104,50 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "A B C D", "y", 2), (3, "other words here now", None, 3), (9, "", "e", 4)], key=str)
 
 
+def test_all_similar_texts_are_linked(spark):
+    """Near copies of a few changed words each, chains and a crowd of them, against the Jaccard similarity of all pairs."""
+    random.seed(8)
+    rows = []
+    for n in range(40):
+        w = random.choices(WORDS, k=random.choice([6, 40, 300]))
+        for changed in (0, 1, 2, 3, 5, len(w) // 20):
+            v = list(w)
+            for at in random.sample(range(len(v)), changed):
+                v[at] = f"new{random.randrange(10**6)}"
+            rows.append(" ".join(v))
+    w = random.choices(WORDS, k=200)
+    for _ in range(60):
+        v = list(w)
+        for at in random.sample(range(200), 4):
+            v[at] = f"new{random.randrange(10**6)}"
+        rows.append(" ".join(v))
+    for _ in range(12):
+        w = [*w, *random.choices(WORDS, k=30)]
+        rows.append(" ".join(w))
+    rows += ["", " ", None, "one", "One", "one two"]
+    random.shuffle(rows)
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    want = {find(i) for i in range(len(rows))}
+    assert 60 < len(want) < len(rows) - 50
+    assert {r.doc_id for r in drop_near_duplicates(df).collect()} == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).count() == 0 and drop_near_duplicates(df).count() == 0
