@@ -8,9 +8,10 @@ any pair within 23 bits agrees on some block: if all blocks differed in three bi
 or more, the whole would differ in 24. Candidates are then verified by the exact
 weighted Jaccard similarity of their shingles.
 
-A window without a single shingle of the items has similarity 0 to all of them;
-so the windows formed are those that a shared shingle places (an item's shingle
-at the same distance from the start). Which of them match what is decided by
+A window of A shingles is as similar to an item of B as s only if s (A + B) / (1 + s)
+of its shingles are the item's, wherever they stand. The windows formed are all that
+hold so many: each run of so many shared places that fits into a window gives every
+start from which the window covers it. Which of them match what is decided by
 fingerprint and verification alone.
 """
 
@@ -82,10 +83,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for size in sizes:
         some = items.where(F.col("size") == size)
         some = stored(some.select("item", F.size("w").alias("words"), shingle_hashes("w", size).alias("shingles")), "item-shingles")
-        places = some.select("words", F.posexplode("shingles").alias("at", "h")).distinct()
-        hits = worded.select("key", F.size("w").alias("n"), F.posexplode(shingle_hashes("w", size)).alias("pos", "h")).join(places, "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("words")))
-        windows = stored(hits.select("key", "words", start.alias("start")).distinct(), "windows")
+        places = some.select("words", F.size("shingles").alias("b"), F.xxhash64("shingles").alias("which"), F.explode("shingles").alias("h")).distinct()
+        hits = worded.select("key", F.size("w").alias("n"), F.posexplode(shingle_hashes("w", size)).alias("pos", "h")).join(places, "h").drop("h").distinct()
+        held = F.least(F.col("b"), F.col("n") - (size - 1))
+        need = F.ceil(F.lit(least / (1 + least)) * (held + F.col("b")) - 1e-9).cast("int")
+        # The places of a run of ``need`` hits: from its first to its last.
+        runs = hits.groupBy("key", "n", "words", "b", "which").agg(F.sort_array(F.collect_list("pos")).alias("at")).withColumn("need", need).withColumn("held", held).where(F.size("at") >= F.col("need"))
+        ends = F.arrays_zip(F.slice("at", 1, F.size("at") - F.col("need") + 1).alias("first"), F.slice("at", F.col("need"), F.size("at") - F.col("need") + 1).alias("last"))
+        runs = runs.select("key", "n", "words", "held", F.explode(ends).alias("run")).where(F.col("run.last") - F.col("run.first") < F.col("held"))
+        latest = F.greatest(F.lit(0), F.col("n") - F.col("words"))
+        starts = F.sequence(F.greatest(F.lit(0), F.col("run.last") - F.col("held") + 1), F.least(latest, F.col("run.first")))
+        windows = stored(runs.select("key", "words", F.explode(starts).alias("start")).distinct(), "windows")
         held = docs.withColumn("key", key).join(windows.select("key").distinct(), "key", "left_semi")
         held = held.select("key", "doc", word_hashes(F.col("text")).alias("w"))
         held = stored(held.select("key", "doc", shingle_hashes("w", size).alias("shingles")).distinct(), "window-texts")

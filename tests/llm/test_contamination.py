@@ -81,6 +81,22 @@ def test_every_window_that_brute_force_finds(spark):
     assert rows[505, 3][0] == 1.0 and rows[None, 4][0] == 1.0 and rows[502, 90][0] == 1.0
 
 
+def test_passages_in_another_order(spark):
+    """Sentences moved inside a passage: the best window need not start where a shared shingle's place in the item tells."""
+    random.seed(12)
+    items = [(n, " ".join(random.choices(LEXICON, k=size))) for n, size in enumerate((60, 100, 100, 200, 30))]
+    docs = []
+    for (n, item), moved in zip(items, (10, 15, 50, 40, 3), strict=True):
+        v = item.split()
+        v = v[moved:] + v[:moved]
+        for extra in (0, 1, 80):
+            docs.append((len(docs), " ".join([*random.choices(LEXICON, k=extra), *v, *random.choices(LEXICON, k=extra)])))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain(docs, items)
+    assert {(n, n // 3) for n in range(12)} <= want.keys()
+    assert {(r.doc, r.item): (r.similarity, r.start, r.words) for r in got} == want
+
+
 def test_clean_documents_stay_and_columns_too(spark):
     docs, items = sample()
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, doc string, similarity int")
