@@ -29,7 +29,9 @@ from .common import one_thread, table, tidied
 #: Tags that end the block before them and begin another.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option optgroup p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript iframe object svg math head select textarea button".split())
+SILENT_TAGS = frozenset("script style template noscript iframe object svg head select textarea button".split())
+#: Tags that leave an open head open; any other one begins the body.
+HEAD_TAGS = frozenset("html head title base link meta script style noscript template".split())
 #: Tags that an opening tag of the key closes, if one is open inside the nearest box.
 CLOSES = {**dict.fromkeys("p h1 h2 h3 h4 h5 h6 div ul ol dl table article section aside nav header footer main form blockquote pre figure hr".split(), {"p"}), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BOXES = frozenset("body html div article section aside nav header footer main form table ul ol dl blockquote figure details".split())
@@ -61,7 +63,16 @@ class Blocks(HTMLParser):
             self.found.append(self.open)
         self.open = None
 
+    def end_head(self) -> None:
+        if "head" in self.stack:
+            k = self.stack.index("head")
+            if not {"noscript", "template"} & set(self.stack[k:]):
+                self.end_block()
+                del self.stack[k:], self.names[k:]
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.end_head()
         closed = CLOSES.get(tag)
         while closed:
             k = len(self.stack) - 1
@@ -97,6 +108,8 @@ class Blocks(HTMLParser):
                 del self.stack[k:], self.names[k:]
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1] == "head" and not data.isspace():
+            self.end_head()
         if any(t in SILENT_TAGS for t in self.stack):
             return
         if self.open is None:

@@ -139,3 +139,11 @@ def test_article_of_the_tables_pages(spark):
     got = html.op8_html_text(spark, BIG).collect()
     assert len(got) == len(pages) and all(r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text) for r in got)
     assert html.op8_html_text(spark, BIG).where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_omitted_end_tags_and_formulas_lose_no_block():
+    told = lambda page: [b.text for b in html.blocks(page)]
+    assert told("<html><head><title>t</title><body><p>One<p>Two <math><mi>x</mi></math> three") == ["One", "Two x three"]
+    assert told("<head><title>t</title><style>a</style><p>One</p></head>Two") == ["One", "Two"]
+    assert told("<head><meta charset=utf-8><title>t</title>Bare text<ul><li>a<li>b</ul>") == ["Bare text", "a", "b"]
+    assert told("<head><noscript><img src=a>no</noscript><title>t</title></head><body><p>One") == ["One"]
