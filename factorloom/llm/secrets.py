@@ -1,22 +1,33 @@
 """Secret scans: three base patterns and a battery of randomness tests, DataFrame operations only.
 
 The battery looks at tokens of 20 or more letters, digits and signs that may be
-encoded bytes, and infers the narrowest encoding whose alphabet they keep to: hex,
-base32, base64. Three tests ask whether a token could be such an encoding of random
-bytes: chi-squared of its symbols against a uniform alphabet, the number of runs
-above and below the alphabet's middle, and the correlation of neighbouring symbols.
-Stouffer's sum combines them. A token that is consistent with randomness is still
-no discovery if ordinary text would be so too: its p-value is the chance that
-text with natural frequencies is as uniform as that, which shrinks with its
-length, and the Benjamini-Hochberg rule controls the share of false discoveries
-within each encoding and band of lengths.
+encoded bytes, and infers the narrowest encoding whose alphabet they keep to, from
+hex to all of these symbols. Three tests ask whether a token could be such an encoding
+of random bytes: chi-squared of its symbols against a uniform alphabet, the number of
+runs of symbols of one class (capital, small, digit, sign), and the correlation of
+neighbouring symbols. Under randomness each is a z of known mean and variance at any
+length, and their sum z is nearly standard normal; ordinary text is uneven, stays in a
+class and has alike neighbours, so its z is large and grows with the root of its length.
+
+A token that is consistent with randomness is still no discovery if ordinary text would
+be so too. A token's p-value is the chance that ordinary text of its length has so small
+a z: ordinary text is normal around slope * sqrt(length). Slope and spread of each
+encoding are fitted to the z of all tokens of the table (a mixture with the standard
+normal law of random tokens, see ``calibrated``), and the Benjamini-Hochberg rule then
+controls the share of false discoveries within each encoding and band of lengths.
+
+Every step works within a row and in time proportional to its text, but for the counts
+of (encoding, band, z), a table whose size does not grow with the data, on which the
+driver fits and sets limits.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import own_name, stored, table
 
@@ -26,16 +37,48 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Encodings: name, alphabet in order of value, and 1 + the noncentrality a symbol adds where text is natural.
-ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+SMALL, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Encodings, narrowest first: alphabet in order of value, slope and spread of ordinary text before any data (of identifiers in Python's standard library).
+ENCODINGS = {
+    "hex": (DIGITS + "abcdef", 0.6, 1.1),
+    "HEX": (DIGITS + "ABCDEF", 0.6, 1.1),
+    "BASE32": (SMALL.upper() + "234567", 0.6, 1.1),
+    "base32": (SMALL + "234567", 0.6, 1.1),
+    "base36": (DIGITS + SMALL, 0.6, 1.1),
+    "BASE36": (DIGITS + SMALL.upper(), 0.6, 1.1),
+    "base64": (SMALL.upper() + SMALL + DIGITS + "+/", 1.05, 2.1),
+    "base64url": (SMALL.upper() + SMALL + DIGITS + "-_", 1.05, 2.1),
+    "mixed": (SMALL.upper() + SMALL + DIGITS + "+/-_", 1.05, 2.1),
 }
-RATE = 0.01
-STEPS = 400  # bins of -log10 p, each a twentieth
+ALPHABETS = [a for a, _, _ in ENCODINGS.values()]
+RATE = 0.05
+#: The z below which 99.9 % of random tokens lie.
+CONSISTENT = 3.09
+STEPS = 8  # bins of z in one unit
+BLOCK = 128
+PIECE = 1024
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(xs: Column, zero: Column, op) -> Column:
+    """What op, which is associative, makes of each element and those before it; copies grow with the elements and not their square."""
+
+    def scan(part):
+        return F.aggregate(part, F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("all")), lambda d, x: let(op(d["at"], x), lambda a: F.struct(a.alias("at"), F.concat(d["all"], F.array(a)).alias("all"))))
+
+    def joined(parts):
+        before = F.aggregate(parts, F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("all")), lambda d, p: F.struct(op(d["at"], p["at"]).alias("at"), F.concat(d["all"], F.array(d["at"])).alias("all")), lambda d: d["all"])
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["all"], lambda x: op(b, x))))
+
+    def whole(xs):
+        cuts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(xs) > 0, let(F.transform(cuts, lambda k: scan(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))), joined)).otherwise(F.slice(F.array(zero), 1, 0))
+
+    return let(xs, whole)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -43,111 +86,178 @@ def matches(text: Column, pattern: str) -> Column:
 
     What split leaves between the matches tells where they are.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    step = lambda done, x: F.struct(
-        (done["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-        F.concat(done["all"], F.array(F.struct((done["at"] + F.length(x["gap"])).alias("start"), (done["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("all"),
-    )
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda d: d["all"])).otherwise(none)
-
-
-def normal_tail(z: Column) -> Column:
-    """P(Z > z), by the approximation of Abramowitz and Stegun, 26.2.17."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = poly * F.exp(-z * z / 2) * 0.3989422804014327
-    return F.when(z >= 0, tail).otherwise(1 - tail)
-
-
-def encoding_of(hit: Column) -> Column:
-    """The narrowest encoding; null where a token has no digit, or no more than one kind of letter and sign, as words and paths do."""
-    body = F.rtrim(hit, F.lit("="))
-    digit = body.rlike("[0-9]")
-    return (
-        F.when(body.rlike("^[0-9a-f]+$") & digit & body.rlike("[a-f]"), "hex")
-        .when(body.rlike("^[0-9A-F]+$") & digit & body.rlike("[A-F]"), "HEX")
-        .when(body.rlike("^[A-Z2-7]+$") & digit & body.rlike("[A-Z]"), "base32")
-        .when(body.rlike("^[A-Za-z0-9+/]+$") & digit & body.rlike("[a-z]") & body.rlike("[A-Z]"), "base64")
-        .when(body.rlike("^[A-Za-z0-9_-]+$") & digit & body.rlike("[a-z]") & body.rlike("[A-Z]"), "base64url")
-    )
-
-
-def battery(rows: DataFrame) -> DataFrame:
-    """rows (with hit) and: encoding, n, z_uniform, z_runs, z_serial, p_random, p_text."""
-    named = rows.withColumn("encoding", encoding_of(F.col("hit"))).where("encoding is not null")
-    alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(v)) for k, v in ALPHABETS.items()])
-    named = named.withColumn("alphabet", alphabet).withColumn("body", F.rtrim("hit", F.lit("=")))
-    named = named.withColumn("v", F.transform(F.split("body", ""), lambda c: F.instr(F.col("alphabet"), c) - 1)).withColumn("n", F.size("v").cast("double")).withColumn("m", F.length("alphabet").cast("double"))
-    n, m, v = F.col("n"), F.col("m"), F.col("v")
-    squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), F.lit(2.0)))
-    high = F.transform(v, lambda x: x >= F.col("m") / 2)
-    changes = lambda xs: F.aggregate(F.zip_with(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, F.size(xs) - 1), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
-    mean = (F.col("m") - 1) / 2
-    products = F.aggregate(F.zip_with(F.slice(v, 2, F.size(v)), F.slice(v, 1, F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda t, x: t + x)
-    stats = named.withColumn("chi", squares * m / n - n).withColumn("runs", changes(high)).withColumn("prod", products)
-    chi, k = F.col("chi"), m - 1
-    # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal.
-    uniform = (F.pow(F.greatest(chi, F.lit(1e-9)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-    runs = F.abs(F.col("runs") - (n - 1) / 2) / (F.sqrt(n - 1) / 2)
-    serial = F.abs(F.col("prod")) / (F.sqrt(n - 1) * (m * m - 1) / 12)
-    tail = lambda z: F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), z))
-    two = lambda z: tail(2 * normal_tail(z))
-    fisher = -2 * (F.log(tail(normal_tail(uniform))) + F.log(two(runs)) + F.log(two(serial)))
-    # Fisher's sum has six degrees of freedom: its tail is a finite sum.
-    p_random = F.exp(-fisher / 2) * (1 + fisher / 2 + F.pow(fisher / 2, F.lit(2.0)) / 2)
-    # Natural text concentrates on few symbols: each symbol adds one to the noncentrality.
-    extra = n * F.when(m <= 16, 0.9).when(m <= 32, 1.2).otherwise(1.6)
-    as_text = (chi - (k + extra)) / F.sqrt(2 * (k + 2 * extra))
-    out = stats.select(*rows.columns, "encoding", n.cast("int").alias("n"), uniform.alias("z_uniform"), runs.alias("z_runs"), serial.alias("z_serial"), p_random.alias("p_random"), normal_tail(-as_text).alias("p_text"))
+
+    def placed(hits, gaps):
+        ends = running(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(h) + F.length(g)), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(F.split(text, pattern, -1), lambda gaps: placed(hits, gaps)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+
+
+def free_tokens(base: Column, tokens: Column) -> Column:
+    """The tokens that no base span overlaps; both are ordered by start."""
+    far = F.lit((1 << 31) - 1)
+
+    def apart(spans):
+        ended = running(F.transform(spans, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.lit(0), F.greatest)
+        begins = F.reverse(running(F.reverse(F.transform(spans, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(far))), far, F.least))
+        told = F.zip_with(F.zip_with(spans, ended, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), begins, lambda y, b: F.struct(y["x"].alias("x"), ((y["x"]["kind"] == 3) & (y["e"] <= y["x"]["start"]) & (b >= y["x"]["end"])).alias("free")))
+        return F.transform(F.filter(told, lambda y: y["free"]), lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["hit"].alias("hit")))
+
+    spans = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("").alias("hit"))), F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"), t["hit"].alias("hit")))))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(let(spans, apart))
+
+
+def class_of(symbol: str) -> str:
+    return "A" if symbol.isupper() else "a" if symbol.islower() else "0" if symbol.isdigit() else "-"
+
+
+def expected(alphabet: str) -> tuple[float, float, float, float]:
+    """Of random symbols: how many there are; the chance that two neighbours differ in class, and the covariance of that of a pair and the next one; that of a pair's likeness with its change of class."""
+    m, places = len(alphabet), defaultdict(list)
+    for value, symbol in enumerate(alphabet):
+        places[class_of(symbol)].append(value)
+    share = {k: len(v) / m for k, v in places.items()}
+    change = 1 - sum(p * p for p in share.values())
+    after = sum(p * (1 - p) ** 2 for p in share.values()) - change**2
+    alike = sum((share[k] * (sum(v) / len(v) - (m - 1) / 2)) ** 2 for k, v in places.items())
+    return float(m), change, after, alike
+
+
+def encoding_of(body: Column) -> Column:
+    """The place in ENCODINGS of the narrowest alphabet that has all symbols."""
+    out = F.lit(len(ALPHABETS) - 1)
+    for k in range(len(ALPHABETS) - 2, -1, -1):
+        out = F.when(body.rlike(f"^[{ALPHABETS[k].replace('-', '') + ('-' if '-' in ALPHABETS[k] else '')}]+$"), k).otherwise(out)
     return out
 
 
-def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows that are consistent with randomness and that Benjamini-Hochberg discovers within their encoding and band of lengths (24, 32, 48, 64, ...).
+def tested(hit: Column) -> Column:
+    """The battery on one token: encoding (its place), n, z_uniform, z_runs, z_serial, z; the z are of one side, large for ordinary text."""
+    pick = lambda values, e: F.get(F.array(*[F.lit(x) for x in values]), e)
+    m_, change_, after_, alike_ = zip(*map(expected, ALPHABETS), strict=True)
+
+    def measured(body, e, alphabet):
+        n, m = F.length(body).cast("double"), pick(m_, e)
+        squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
+        uniform = (m / n * squares - n - (m - 1)) / F.sqrt(2 * (m - 1) * (n - 1) / n)
+        classes = F.translate(body, SMALL.upper() + SMALL + DIGITS + "+/-_", "A" * 26 + "a" * 26 + "0" * 10 + "-" * 4)
+        changes = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
+        spread = F.sqrt((n - 1) * pick(change_, e) * (1 - pick(change_, e)) + 2 * (n - 2) * pick(after_, e))
+        runs = ((n - 1) * pick(change_, e) - changes) / spread
+        values = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c) - 1 - (m - 1) / 2)
+        products = let(values, lambda v: F.aggregate(F.zip_with(F.slice(v, 2, F.size(v)), F.slice(v, 1, F.size(v) - 1), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
+        serial = products / (F.sqrt(n - 1) * (m * m - 1) / 12)
+        both = F.sqrt(n - 1) * pick(alike_, e) / (spread * (m * m - 1) / 12)
+        three = F.struct(uniform.alias("u"), runs.alias("r"), serial.alias("s"), both.alias("b"))
+        z = lambda x: F.struct(e.alias("encoding"), n.cast("int").alias("n"), x["u"].alias("z_uniform"), x["r"].alias("z_runs"), x["s"].alias("z_serial"), ((x["u"] + x["r"] + x["s"]) / F.sqrt(3 + 2 * x["b"])).alias("z"))
+        return let(three, z)
+
+    return let(F.rtrim(hit, F.lit("=")), lambda body: let(encoding_of(body), lambda e: let(pick(ALPHABETS, e), lambda alphabet: measured(body, e, alphabet))))
+
+
+def band_of(n):
+    """Bands of lengths end at 24, 32, 48, 64, ..."""
+    return F.floor(F.log2(n / F.lit(16.0)) * 2).cast("int")
+
+
+def step_of(z):
+    """The bin of z: that of an upper edge step / STEPS."""
+    return F.least(F.lit(64 * STEPS), F.greatest(F.lit(-16 * STEPS), F.ceil(z * STEPS))).cast("int")
 
-    p-values are counted in bins of a twentieth of a decade, so that no group of
-    them is sorted in one place; a bin counts as its largest p-value.
+
+def normal_cdf(z: float) -> float:
+    return math.erfc(-z / math.sqrt(2)) / 2
+
+
+def calibrated(cells, rounds: int = 40, weight: float = 50.0) -> dict[int, tuple[float, float]]:
+    """(slope, spread) of ordinary text by encoding, from cells (encoding, band, step, count, root of the least length).
+
+    Expectation maximisation for a mixture of random tokens, N(0, 1), and ordinary
+    ones, N(slope * root, spread); the values before any data count as ``weight`` tokens of 24 symbols.
     """
-    band = F.floor(F.log2(F.col("n") / 16.0) * 2).cast("int")
-    step = F.least(F.lit(STEPS), F.floor(-F.log10(F.greatest("p_text", F.lit(1e-30))) * 20)).cast("int")
-    marked = tested.withColumn("band", band).withColumn("step", step)
-    bins = marked.groupBy("encoding", "band", "step").agg(F.count("*").alias("c"))
-    group = Window.partitionBy("encoding", "band")
-    upto = group.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.withColumn("k", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(group))
-    met = F.pow(F.lit(10.0), -F.col("step") / 20.0) <= F.col("k") / F.col("all") * rate
-    limits = ranked.where(met).groupBy("encoding", "band").agg(F.min("step").alias("least"))
-    return marked.join(limits, ["encoding", "band"]).where((F.col("step") >= F.col("least")) & (F.col("p_random") >= 0.001)).drop("band", "step", "least")
-
-
-def _kept(found: Column, kind: int, least) -> Column:
-    spans = F.filter(found, least)
+    out = {}
+    for k, (_, slope0, spread0) in enumerate(ENCODINGS.values()):
+        own = [((step - 0.5) / STEPS, root, count) for e, _, step, count, root in cells if e == k]
+        slope, spread, random = slope0, spread0, 0.5
+        for _ in range(rounds if own else 0):
+            top, bottom, ordinary, squares = weight * 24 * slope0, weight * 24.0, weight, weight * spread0**2
+            held = []
+            for z, root, count in own:
+                a = math.log(random) - z * z / 2
+                b = math.log(1 - random) - ((z - slope * root) / spread) ** 2 / 2 - math.log(spread)
+                g = count / (1 + math.exp(min(700.0, a - b)))
+                held.append(g)
+                top, bottom, ordinary = top + g * root * z, bottom + g * root * root, ordinary + g
+            slope = max(0.5 * slope0, top / bottom)
+            squares += sum(g * (z - slope * root) ** 2 for g, (z, root, _) in zip(held, own, strict=True))
+            spread = max(0.75 * spread0, math.sqrt(squares / ordinary))
+            total = sum(count for _, _, count in own)
+            random = (total - sum(held) + 1) / (total + 2)
+        out[k] = (slope, spread)
+    return out
+
+
+def limits_of(cells, rate: float = RATE) -> dict[tuple[int, int], int]:
+    """The largest step that Benjamini-Hochberg discovers, by (encoding, band); a bin counts as its largest p-value."""
+    laws, groups = calibrated(cells), defaultdict(list)
+    for e, band, step, count, root in cells:
+        groups[e, band].append((step, count, root))
+    out = {}
+    for (e, band), rows in groups.items():
+        (slope, spread), every, upto = laws[e], sum(c for _, c, _ in rows), 0
+        for step, count, root in sorted(rows):
+            upto += count
+            if step / STEPS <= CONSISTENT and normal_cdf((step / STEPS - slope * root) / spread) <= rate * upto / every:
+                out[e, band] = step
+    return out
+
+
+def cells_of(marked: DataFrame, tokens: str) -> list[tuple]:
+    """Tokens counted by encoding, band and step, over all rows: at most some ten thousand cells, however many tokens."""
+    rows = marked.where(F.size(tokens) > 0).select(F.explode(tokens).alias("t")).groupBy("t.encoding", "t.band", "t.step").agg(F.count("*").alias("c"), F.sqrt(F.min("t.n")).alias("root"))
+    return sorted((r["encoding"], r["band"], r["step"], r["c"], r["root"]) for r in rows.collect())
+
+
+def discovered(tokens: Column, limits: dict[tuple[int, int], int]) -> Column:
+    """Spans of the tokens at or below their group's limit."""
+    if limits:
+        least = F.create_map(*[F.lit(x) for (e, band), step in sorted(limits.items()) for x in (e * 1000 + band, step)])
+        tokens = F.filter(tokens, lambda t: F.coalesce(t["step"] <= F.element_at(least, t["encoding"] * 1000 + t["band"]), F.lit(False)))
+    else:
+        tokens = F.slice(tokens, 1, 0)
+    return F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+
+
+def _kept(found: Column, kind: int, least=None) -> Column:
+    spans = F.filter(found, least) if least else found
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def scanned(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df, stored, with a row number ``uid`` of its own and ``spans``: all of (start, kind, end) in order, kind a place in KINDS.
+def scanned(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """(df, stored, of its columns those to keep, and all spans in order; the spans' name).
 
-    Null texts count as empty. Whole texts are scanned. A token of the battery
-    that a base span overlaps is that span's. Returned: (frame, uid's name, spans' name).
+    Spans are (start, kind, end), kind a place in KINDS. Null texts count as empty.
+    Whole texts are scanned. A token of the battery that a base span overlaps is that span's.
     """
-    uid, base, tokens = own_name(df, "uid"), own_name(df, "base"), own_name(df, "tokens")
+    base, tokens, spans = (own_name(df, x) for x in ("base", "tokens", "spans"))
+    keep = df.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     group = lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 12
-    first = df.withColumn(uid, F.monotonically_increasing_id())
-    first = first.withColumn(base, F.array_sort(F.concat(_kept(matches(text, ASSIGN), 0, group), _kept(matches(text, ACCESS), 1, lambda x: F.lit(True)), _kept(matches(text, HEX), 2, lambda x: F.lit(True)))))
-    first = stored(first.withColumn(tokens, F.filter(matches(text, TOKEN), lambda x: x["hit"].rlike("[0-9]"))), "secret-spans")
-    free = first.select(F.col(uid).alias("u"), F.col(base).alias("base"), F.explode(tokens).alias("t")).where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    free = free.select("u", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.hit").alias("hit"))
-    tested = stored(battery(free), "secret-tests")
-    more = discoveries(tested).groupBy("u").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
-    out = first.join(stored(more, "secret-random"), F.col(uid) == F.col("u"), "left")
-    spans = own_name(df, "spans")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return out.withColumn(spans, F.array_sort(F.concat(base, F.coalesce("more", none)))).drop("u", "more", tokens, base), uid, spans
+    first = df.withColumn(base, F.array_sort(F.concat(_kept(matches(text, ASSIGN), 0, group), _kept(matches(text, ACCESS), 1), _kept(matches(text, HEX), 2))))
+    first = first.withColumn(tokens, matches(text, TOKEN)).select(*keep, base, tokens)
+
+    def marked(t):
+        about = lambda x: F.struct(t["start"].alias("start"), t["end"].alias("end"), x["encoding"].alias("encoding"), x["n"].alias("n"), band_of(x["n"]).alias("band"), step_of(x["z"]).alias("step"))
+        return let(tested(t["hit"]), about)
+
+    first = first.withColumn(tokens, F.when(F.size(tokens) > 0, F.transform(free_tokens(F.col(base), F.col(tokens)), marked)))
+    first = stored(first, "secret-spans")
+    found = discovered(F.col(tokens), limits_of(cells_of(first, tokens)))
+    both = F.when(F.size(tokens) > 0, F.array_sort(F.concat(base, found))).otherwise(F.col(base))
+    return first.withColumn(spans, both).drop(base, tokens), spans
 
 
 def told(spans: Column) -> Column:
@@ -161,13 +271,32 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have no span: zeros, the hash of nothing, an empty string.
     Repeated rows and null ids stay; an empty table gives an empty result; a text of
-    any length is scanned whole. Columns other than the two named are not read.
+    any length is scanned whole, in time and memory proportional to it and its spans.
+    Columns other than the two named are not read.
     """
-    found, _, spans = scanned(df.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "body")), "text" if id_col != "text" else "body")
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found, spans = scanned(slim, "text", ["id"])
     s = F.col(spans)
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
     base = F.filter(s, lambda x: x["kind"] < 3)
-    return found.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(s).alias("spans"))
+    return found.select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(s).alias("spans"))
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with the spans, which are ordered by start, replaced; of overlapping ones the whole. The text is cut in pieces once, so that a span's cost does not grow with the text."""
+
+    def between(pieces, a, b):
+        some = F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, (F.floor(b / PIECE) - F.floor(a / PIECE)).cast("int") + 1), "")
+        return F.substring(some, F.pmod(a, F.lit(PIECE)) + 1, b - a)
+
+    def replaced(pieces, ended):
+        last, before = F.element_at(ended, -1), F.concat(F.array(F.lit(0)), F.slice(ended, 1, F.size(ended) - 1))
+        parts = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(between(pieces, at, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(pieces, last, F.length(text)))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(cut, lambda pieces: let(ends, lambda ended: replaced(pieces, ended)))
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -175,15 +304,23 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> Dat
 
     Null texts stay null and empty ones empty; all rows and columns come back, whatever their names.
     """
-    found, uid, spans = scanned(df, text_col)
-    text, size = F.col(text_col), F.length(text_col)
-    step = lambda done, s: F.struct(
-        F.when(s["start"] >= done["at"], F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mask))).otherwise(done["out"]).alias("out"),
-        F.greatest(done["at"], s["end"]).alias("at"),
-    )
-    clean = F.aggregate(F.col(spans), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, size)))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*df.columns)
+    found, spans = scanned(df, text_col)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked(F.col(text_col), F.col(spans), mask)).otherwise(F.col(text_col))).select(*df.columns)
 
 
 def op6_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def secret_base_counts(spark, sf_dir):
+    """Of op6's rows what SQL can express."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+COUNTS_SQL = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12))::BIGINT AS n_assign,
+  len(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]{14,}'))::BIGINT AS n_access,
+  len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}'))::BIGINT AS n_hex
+FROM documents
+"""

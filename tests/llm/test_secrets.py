@@ -5,13 +5,20 @@ import math
 import random
 import re
 
+from collections import defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm.secrets import ALPHABETS, battery, discoveries, find_secrets, redact
+from factorloom.llm.secrets import ALPHABETS, CONSISTENT, COUNTS_SQL, ENCODINGS, RATE, calibrated, find_secrets, limits_of, redact, running, secret_base_counts
+from factorloom.llm.secrets import tested as battery
+
+from ..conftest import same
 
 ASSIGN = re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
-B64 = ALPHABETS["base64"]
+B64 = ENCODINGS["base64"][0]
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
 def base(text):
@@ -45,54 +52,150 @@ def test_base_spans_match_regular_expressions(spark):
         assert told(want) == ",".join(x for x in r.spans.split(",") if not x.startswith("random"))
 
 
-def phi(z):
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def class_of(c):
+    return 0 if "A" <= c <= "Z" else 1 if "a" <= c <= "z" else 2 if c.isdigit() else 3
+
+
+def plain(token):
+    """encoding, n, three z and their sum, from their definitions."""
+    body = token.rstrip("=")
+    e = next(k for k, a in enumerate(ALPHABETS) if all(c in a for c in body))
+    alphabet, n, m = ALPHABETS[e], len(body), len(ALPHABETS[e])
+    v = [alphabet.index(c) - (m - 1) / 2 for c in body]
+    chi = sum((body.count(c) - n / m) ** 2 / (n / m) for c in alphabet)
+    uniform = (chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+    kinds = [class_of(c) for c in alphabet]
+    share = [kinds.count(k) / m for k in range(4)]
+    change = sum(a * b for i, a in enumerate(share) for j, b in enumerate(share) if i != j)
+    twice = sum(a * b * c for i, a in enumerate(share) for j, b in enumerate(share) for k, c in enumerate(share) if i != j and j != k)
+    spread = math.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * (twice - change**2))
+    runs = ((n - 1) * change - sum(class_of(a) != class_of(b) for a, b in zip(body, body[1:], strict=False))) / spread
+    scale = math.sqrt(n - 1) * (m * m - 1) / 12
+    serial = sum(a * b for a, b in zip(v, v[1:], strict=False)) / scale
+    # Covariance of a pair's product with its being of one class, symbol by symbol.
+    values = [(k, x - (m - 1) / 2) for x, k in enumerate(kinds)]
+    both = (n - 1) * sum(x * y for k, x in values for j, y in values if k == j) / m**2 / (spread * scale)
+    return e, n, uniform, runs, serial, (uniform + runs + serial) / math.sqrt(3 + 2 * both)
+
+
+def band(n):
+    return math.floor(math.log2(n / 16) * 2)
+
+
+def step(z):
+    return min(512, max(-128, math.ceil(z * 8)))
+
+
+def all_spans(texts):
+    """Base spans, and the battery's over all texts, by brute force."""
+    tokens, cells = [], defaultdict(list)
+    for at, text in enumerate(texts):
+        spans = base(text)
+        for m in TOKEN.finditer(text or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                e, n, *_, z = plain(m[0])
+                tokens.append((at, m.start(), m.end(), e, n, step(z)))
+                cells[e, band(n), step(z)].append(n)
+    limits = limits_of([(*k, len(v), math.sqrt(min(v))) for k, v in sorted(cells.items())])
+    out = [base(t) for t in texts]
+    for at, a, b, e, n, k in tokens:
+        if k <= limits.get((e, band(n)), -1000):
+            out[at].append((a, 3, b))
+    return [sorted(x) for x in out]
+
+
+def test_spans_end_to_end(spark):
+    random.seed(13)
+    name = lambda: "_".join(random.choices(["user", "profile", "settings", "page", "getElements", "ByClass", "name2", "index", "value"], k=5))
+    made = lambda: "".join(random.choices(random.choice(ALPHABETS), k=random.choice([16, 19, 20, 24, 32, 40, 64, 100])))
+    rows = []
+    for _ in range(400):
+        parts = [random.choice([name, made, lambda: "word", lambda: "token=" + made(), lambda: name() + "secret: " + made() + "==", lambda: "é" + made()])() for _ in range(random.randint(0, 6))]
+        rows.append(random.choice([" ", ", ", "=", "😀"]).join(parts))
+    rows += [None, "", "a" * 20, "-" * 30, "=" * 30, "0" * 25, "Z" * 40]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = [told(x) for x in all_spans(rows)]
+    assert [got[n] for n in range(len(rows))] == want and sum("random" in x for x in want) > 50
 
 
 def test_battery_is_the_plain_statistics(spark):
     random.seed(7)
-    hits = ["".join(random.choices(B64, k=n)) for n in (24, 40, 64, 300)] + ["Ab1" * 12, "0" * 20 + "aF" * 3]
-    rows = battery(spark.createDataFrame([(h,) for h in hits], "hit string")).collect()
+    hits = ["".join(random.choices(a, k=n)) for a in ALPHABETS for n in (20, 33, 300)] + ["Ab1" * 12, "0" * 20 + "aF" * 3, "a" * 24, "abc" * 9 + "=="]
+    rows = spark.createDataFrame([(h,) for h in hits], "hit string").select("hit", battery(F.col("hit")).alias("t")).collect()
     assert {r.hit for r in rows} == set(hits)
     for r in rows:
-        assert r.encoding == "base64"
-        v = [B64.index(c) for c in r.hit]
-        n, m = len(v), 64
-        chi = sum((v.count(x) - n / m) ** 2 / (n / m) for x in range(m))
-        uniform = ((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1)))
-        runs = abs(sum((a >= 32) != (b >= 32) for a, b in zip(v, v[1:], strict=False)) - (n - 1) / 2) / (math.sqrt(n - 1) / 2)
-        serial = abs(sum((a - 31.5) * (b - 31.5) for a, b in zip(v, v[1:], strict=False))) / (math.sqrt(n - 1) * (m * m - 1) / 12)
-        for a, b in ((r.z_uniform, uniform), (r.z_runs, runs), (r.z_serial, serial)):
-            assert abs(a - b) < 1e-9
-        ps = [max(1e-12, phi(uniform)), max(1e-12, 2 * phi(runs)), max(1e-12, 2 * phi(serial))]
-        x = -sum(map(math.log, ps))
-        assert abs(r.p_random - math.exp(-x) * (1 + x + x * x / 2)) < 1e-5
+        assert tuple(r.t)[:2] == plain(r.hit)[:2] and tuple(r.t)[2:] == pytest.approx(plain(r.hit)[2:], abs=1e-9)
+
+
+def test_random_tokens_have_a_standard_normal_z():
+    random.seed(8)
+    for alphabet in ALPHABETS:
+        for n in (20, 48):
+            z = [plain("".join(random.choices(alphabet, k=n)))[5] for _ in range(300)]
+            mean = sum(z) / len(z)
+            assert abs(mean) < 0.25 and 0.8 < math.sqrt(sum((x - mean) ** 2 for x in z) / len(z)) < 1.25
 
 
 def test_random_tokens_are_found_and_text_is_not(spark):
     random.seed(9)
-    token = lambda n: "".join(random.choices(B64, k=n))
-    names = ["user_profile_settings_page_2", "getElementsByClassName2InDocument", "thisIsAVeryLongCamelCaseIdentifier1", "2024-11-26_backup_of_files", "ththththththththththth", "a1" * 20 + "A"]
-    rows = [(n, f"see {token(64)} here") for n in range(40)] + [(100 + n, f"see {random.choice(names)} here") for n in range(60)]
+    names = ["user_profile_settings_page_2", "getElementsByClassName2InDocument", "thisIsAVeryLongCamelCaseIdentifier1", "2024-11-26_backup_of_files", "ththththththththththth", "keitstlichschenverpf", "a1" * 20 + "A", "12345678901234567890"]
+    rows = [(n, f"see {''.join(random.choices(B64, k=40))} here") for n in range(40)] + [(100 + n, f"see {random.choice(names)} here") for n in range(60)]
     got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("random" in got[n] for n in range(40)) >= 36
     assert not any("random" in got[100 + n] for n in range(60))
 
 
-def test_binned_false_discovery_control(spark):
+def test_false_discovery_control():
+    """Benjamini-Hochberg on the bins' largest p-values, by its definition."""
     random.seed(2)
-    ps = [10 ** -random.uniform(4, 9) for _ in range(30)] + [random.random() for _ in range(300)]
-    df = spark.createDataFrame([("hex", 40, p, 0.5) for p in ps], "encoding string, n int, p_text double, p_random double")
-    got = sorted(r.p_text for r in discoveries(df).collect())
-    binned = sorted(10 ** (-math.floor(-math.log10(p) * 20) / 20) for p in ps)
-    k = max((i + 1 for i, p in enumerate(binned) if p <= (i + 1) / len(ps) * 0.01), default=0)
-    assert got == sorted(ps)[:k] and k >= 30
+    cells = defaultdict(int)
+    for n in range(3000):
+        cells[6, 3, step(random.gauss(0, 1) if n % 10 == 0 else random.gauss(1.05 * math.sqrt(50), 2.1))] += 1
+    cells = [(*k, c, math.sqrt(50)) for k, c in sorted(cells.items())]
+    slope, spread = calibrated(cells)[6]
+    assert slope == pytest.approx(1.05, rel=0.05) and spread == pytest.approx(2.1, rel=0.1)
+    p = sorted((0.5 * math.erfc(-(s / 8 - slope * math.sqrt(50)) / spread / math.sqrt(2)), s) for _, _, s, c, _ in cells for _ in range(c))
+    met = [s for k, (x, s) in enumerate(p, 1) if x <= RATE * k / 3000 and s / 8 <= CONSISTENT]
+    assert limits_of(cells) == {(6, 3): max(met)} and limits_of([]) == {}
+
+
+def test_running_over_blocks(spark):
+    xs = [random.randint(-9, 9) for _ in range(1000)]
+    rows = spark.createDataFrame([(xs[:n],) for n in (0, 1, 127, 128, 129, 1000)], "xs array<int>")
+    got = rows.select(running(F.col("xs"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("xs"), F.lit(0), F.greatest).alias("m"), "xs").collect()
+    for r in got:
+        assert r.s == [sum(r.xs[: k + 1]) for k in range(len(r.xs))] and r.m == [max([0, *r.xs[: k + 1]]) for k in range(len(r.xs))]
+
+
+def test_very_many_tokens_in_a_text(spark):
+    """50,000 tokens, and 20,000 assignments beside tokens: time and memory follow the text."""
+    random.seed(4)
+    one = " ".join("".join(random.choices("0123456789abcdefg", k=20)) for _ in range(50_000))
+    two = " ".join(f"password={'z' * 14} x{''.join(random.choices(B64, k=30))}" for _ in range(20_000))
+    df = spark.createDataFrame([(1, one, 1, 2), (2, two, 3, 4)], "doc_id long, text string, u int, more int")
+    got = {r.doc_id: r for r in find_secrets(df).collect()}
+    for n, text in ((1, one), (2, two)):
+        want = base(text)
+        assert (got[n].n_assign, got[n].n_hex) == (sum(k == 0 for _, k, _ in want), sum(k == 2 for _, k, _ in want))
+        assert got[n].base_sha256 == hashlib.sha256(told(want).encode()).hexdigest()
+    for r in redact(df).collect():
+        text, at, parts = (one, two)[r.doc_id - 1], 0, []
+        for start, end in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in got[r.doc_id].spans.split(","))):
+            if start >= at:
+                parts += [text[at:start], "[secret]"]
+            at = max(at, end)
+        assert r.text == "".join(parts) + text[at:] and (r.u, r.more) in ((1, 2), (3, 4))
+
+
+def test_counts_are_their_sql(spark, small):
+    same(secret_base_counts(spark, small), small, COUNTS_SQL)
 
 
 def test_redaction(spark):
     rows = [(1, "a token=abcdefghijklmnop b 0123456789abcdef0 c", "x"), (2, "clean 😀 text", "y"), (3, None, None), (4, "", ""), (4, "", ""), (5, "token = 0123456789abcdef0123", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, tokens string")
-    got = sorted(map(tuple, redact(df).collect()), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string, tokens string").withColumns({"u": F.lit(1), "more": F.lit(2), "Base": F.lit(3)})
+    got = sorted((tuple(r)[:3] for r in redact(df).collect()), key=str)
+    assert redact(df).columns == df.columns
     assert got == sorted([(1, "a [secret] b [secret] c", "x"), (2, "clean 😀 text", "y"), (3, None, None), (4, "", ""), (4, "", ""), (5, "[secret]", "z")], key=str)
 
 
