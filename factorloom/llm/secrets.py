@@ -13,8 +13,8 @@ A token that is consistent with randomness is still no discovery if ordinary tex
 be so too. A token's p-value is the chance that ordinary text of its length has so small
 a z: ordinary text is normal around slope * sqrt(length). Slope and spread of each
 encoding are fitted to the z of all tokens of the table (a mixture with the standard
-normal law of random tokens, see ``calibrated``), and the Benjamini-Hochberg rule then
-controls the share of false discoveries within each encoding and band of lengths.
+normal law of random tokens, see ``calibrated``), and the adaptive Benjamini-Hochberg
+rule then controls the share of false discoveries within each encoding and band of lengths.
 
 Every step works within a row and in time proportional to its text, but for the counts
 of (encoding, band, z), a table whose size does not grow with the data, on which the
@@ -172,45 +172,50 @@ def normal_cdf(z: float) -> float:
     return math.erfc(-z / math.sqrt(2)) / 2
 
 
-def calibrated(cells, rounds: int = 40, weight: float = 50.0) -> dict[int, tuple[float, float]]:
-    """(slope, spread) of ordinary text by encoding, from cells (encoding, band, step, count, root of the least length).
+def calibrated(cells, rounds: int = 60, weight: float = 50.0) -> dict[int, tuple[float, float, dict[int, float]]]:
+    """(slope, spread, share by band) of ordinary text by encoding, from cells (encoding, band, step, count, root of the least length).
 
     Expectation maximisation for a mixture of random tokens, N(0, 1), and ordinary
-    ones, N(slope * root, spread); the values before any data count as ``weight`` tokens of 24 symbols.
+    ones, N(slope * root, spread), whose shares each band has of its own; the values
+    before any data count as ``weight`` tokens of 24 symbols.
     """
     out = {}
     for k, (_, slope0, spread0) in enumerate(ENCODINGS.values()):
-        own = [((step - 0.5) / STEPS, root, count) for e, _, step, count, root in cells if e == k]
-        slope, spread, random = slope0, spread0, 0.5
+        own = [(band, (step - 0.5) / STEPS, root, count) for e, band, step, count, root in cells if e == k]
+        slope, spread, share = slope0, spread0, defaultdict(lambda: 0.5)
         for _ in range(rounds if own else 0):
             top, bottom, ordinary, squares = weight * 24 * slope0, weight * 24.0, weight, weight * spread0**2
-            held = []
-            for z, root, count in own:
-                a = math.log(random) - z * z / 2
-                b = math.log(1 - random) - ((z - slope * root) / spread) ** 2 / 2 - math.log(spread)
+            held, mass, every = [], defaultdict(float), defaultdict(int)
+            for band, z, root, count in own:
+                a = math.log(1 - share[band]) - z * z / 2
+                b = math.log(share[band]) - ((z - slope * root) / spread) ** 2 / 2 - math.log(spread)
                 g = count / (1 + math.exp(min(700.0, a - b)))
                 held.append(g)
                 top, bottom, ordinary = top + g * root * z, bottom + g * root * root, ordinary + g
+                mass[band], every[band] = mass[band] + g, every[band] + count
             slope = max(0.5 * slope0, top / bottom)
-            squares += sum(g * (z - slope * root) ** 2 for g, (z, root, _) in zip(held, own, strict=True))
+            squares += sum(g * (z - slope * root) ** 2 for g, (_, z, root, _) in zip(held, own, strict=True))
             spread = max(0.75 * spread0, math.sqrt(squares / ordinary))
-            total = sum(count for _, _, count in own)
-            random = (total - sum(held) + 1) / (total + 2)
-        out[k] = (slope, spread)
+            share = {x: (mass[x] + 1) / (every[x] + 2) for x in every}
+        out[k] = (slope, spread, dict(share))
     return out
 
 
 def limits_of(cells, rate: float = RATE) -> dict[tuple[int, int], int]:
-    """The largest step that Benjamini-Hochberg discovers, by (encoding, band); a bin counts as its largest p-value."""
+    """The largest step that the Benjamini-Hochberg rule discovers, by (encoding, band).
+
+    The rule is the adaptive one, which knows the share of ordinary tokens in the
+    group. A bin counts as its largest p-value.
+    """
     laws, groups = calibrated(cells), defaultdict(list)
     for e, band, step, count, root in cells:
         groups[e, band].append((step, count, root))
     out = {}
     for (e, band), rows in groups.items():
-        (slope, spread), every, upto = laws[e], sum(c for _, c, _ in rows), 0
+        (slope, spread, share), every, upto = laws[e], sum(c for _, c, _ in rows), 0
         for step, count, root in sorted(rows):
             upto += count
-            if step / STEPS <= CONSISTENT and normal_cdf((step / STEPS - slope * root) / spread) <= rate * upto / every:
+            if step / STEPS <= CONSISTENT and share[band] * normal_cdf((step / STEPS - slope * root) / spread) <= rate * upto / every:
                 out[e, band] = step
     return out
 

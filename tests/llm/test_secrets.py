@@ -152,10 +152,10 @@ def test_false_discovery_control():
     for n in range(3000):
         cells[6, 3, step(random.gauss(0, 1) if n % 10 == 0 else random.gauss(1.05 * math.sqrt(50), 2.1))] += 1
     cells = [(*k, c, math.sqrt(50)) for k, c in sorted(cells.items())]
-    slope, spread = calibrated(cells)[6]
-    assert slope == pytest.approx(1.05, rel=0.05) and spread == pytest.approx(2.1, rel=0.1)
+    slope, spread, share = calibrated(cells)[6]
+    assert slope == pytest.approx(1.05, rel=0.05) and spread == pytest.approx(2.1, rel=0.1) and share[3] == pytest.approx(0.9, abs=0.02)
     p = sorted((0.5 * math.erfc(-(s / 8 - slope * math.sqrt(50)) / spread / math.sqrt(2)), s) for _, _, s, c, _ in cells for _ in range(c))
-    met = [s for k, (x, s) in enumerate(p, 1) if x <= RATE * k / 3000 and s / 8 <= CONSISTENT]
+    met = [s for k, (x, s) in enumerate(p, 1) if x * share[3] <= RATE * k / 3000 and s / 8 <= CONSISTENT]
     assert limits_of(cells) == {(6, 3): max(met)} and limits_of([]) == {}
 
 
