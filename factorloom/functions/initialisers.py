@@ -25,10 +25,10 @@ def unseeded(rank: int, seed: int | None = None) -> Initialiser:
 
 
 def custom(f: Callable[[int], list[float]]) -> Initialiser:
-    """Any Python function of the id, in Arrow batches."""
+    """Any Python function of the id, in Arrow batches; null for a null id."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def each(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: [float(x) for x in f(int(i))])
+        return ids.map(lambda i: None if pd.isna(i) else [float(x) for x in f(int(i))])
 
     return lambda key: each(key)

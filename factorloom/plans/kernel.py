@@ -3,7 +3,7 @@
 Ratings are applied in the order given. Ratings without a common user or item
 commute, so each is put on the first level after those of its user and item, and a
 level is one numpy step: the result is that of the sequential order, bit for bit of
-each update.
+each update. Finding a rating's level takes two dictionary look-ups in Python.
 """
 
 from __future__ import annotations

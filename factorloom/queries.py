@@ -16,11 +16,11 @@ from .operators import parameter_server as ps
 from .operators.predict import empirical_risk as risk_of
 from .operators.predict import objective as objective_of
 from .operators.predict import predictions
-from .operators.state import last_values, merged, rating_blocks, summed
-from .operators.train import DSGD, als, offline_dsgd
+from .operators.state import last_values, merged, rating_blocks, ratings_by_item, summed
+from .operators.train import DSGD, als, als_residuals, offline_dsgd
 from .sources.ratings import batches, from_events, from_orders, generated
 from .sources.store import stored
-from .streaming.online import Online, fold, fold2, traced
+from .streaming.online import OfflineOnline, Online, fold, fold2, traced
 
 RANK, ETA = 4, 0.01
 INIT = pseudo_random(RANK)
@@ -86,8 +86,18 @@ def block_strata(spark, sf_dir):
 
 def rating_block_arrays(spark, sf_dir):
     made = rating_blocks(event_ratings(spark, sf_dir), 3)
-    first = F.get("ratings", F.lit(0))
-    return made.select("rating_block", F.size("ratings").cast("long").alias("n"), first["user"].alias("first_user"), first["item"].alias("first_item"), F.round(F.aggregate("ratings", F.lit(0.0), lambda a, x: a + x["rating"]), 4).alias("total"))
+    return _told(made, "rating_block", 4)
+
+
+def item_arrays(spark, sf_dir):
+    return _told(ratings_by_item(event_ratings(spark, sf_dir), 500), "item", 4)
+
+
+def _told(arrays, key, places):
+    """Of arrays of ratings, a row per key: how many, the first in order, and the sum."""
+    total = F.aggregate("ratings", F.lit(0.0), lambda a, x: a + x["rating"])
+    per = arrays.groupBy(key).agg(F.sum(F.size("ratings")).cast("long").alias("n"), F.min(F.get("ratings", F.lit(0))).alias("first"), F.round(F.sum(total), places).alias("total"))
+    return per.select(key, "n", F.col("first.user").alias("first_user"), F.col("first.item").alias("first_item"), "total")
 
 
 def state_merge(spark, sf_dir):
@@ -156,26 +166,27 @@ def sgd_delta(spark, sf_dir):
 
 
 def sgd_sequential(spark, sf_dir):
-    return rows_of(offline_dsgd(event_ratings(spark, sf_dir), INIT, SGD(ETA)))
+    """The one sequence of all ratings: one task, as its ratings share items."""
+    return rows_of(offline_dsgd(event_ratings(spark, sf_dir), INIT, SGD(ETA), blocks=1))
 
 
 def dsgd_strata_k4(spark, sf_dir):
     return rows_of(offline_dsgd(event_ratings(spark, sf_dir), INIT, SGD(ETA), blocks=4))
 
 
-def _odd(spark, sf_dir):
-    """All suppliers' keys as known users, and the ratings of users with odd ids."""
-    ids = table(spark, sf_dir, "supplier").select(F.lit("user").alias("kind"), F.col("s_suppkey").cast("int").alias("id"))
-    return event_ratings(spark, sf_dir).where(F.pmod("user", F.lit(2)) == 1), ids.withColumn("vector", INIT(F.col("id") + 7))
+def _known(spark, sf_dir):
+    """All customers as known users, most of whom have rated nothing."""
+    ids = table(spark, sf_dir, "customer").select(F.lit("user").alias("kind"), F.col("c_custkey").cast("int").alias("id"))
+    return event_ratings(spark, sf_dir), ids.withColumn("vector", INIT(F.col("id") + 7))
 
 
 def dsgd_known_vectors(spark, sf_dir):
-    r, known = _odd(spark, sf_dir)
+    r, known = _known(spark, sf_dir)
     return rows_of(offline_dsgd(r, INIT, SGD(ETA), known=known, blocks=2))
 
 
 def dsgd_updates_only(spark, sf_dir):
-    r, known = _odd(spark, sf_dir)
+    r, known = _known(spark, sf_dir)
     return rows_of(offline_dsgd(r, INIT, SGD(ETA), known=known, blocks=2, updates_only=True))
 
 
@@ -184,14 +195,17 @@ def dsgd_regularized(spark, sf_dir):
 
 
 def als_factors(spark, sf_dir):
-    return als(event_ratings(spark, sf_dir), RANK, 5, seed=1, blocks=4)
+    """Of alternating least squares what any right solution shares: every user's vector solves its normal equations."""
+    r = event_ratings(spark, sf_dir)
+    made = als_residuals(r, stored(als(r, RANK, 5, seed=1, blocks=4), "als"))
+    return made.select("user", F.round("residual", 3).alias("residual"))
 
 
 # Streams
 
 
 def online_trace(spark, sf_dir):
-    log, _ = traced(event_ratings(spark, sf_dir), rank=RANK, eta=ETA)
+    log, _ = traced(event_ratings(spark, sf_dir), rank=RANK, eta=ETA, blocks=4)
     return log.select("seq", "user", "item", *spread("user_vector", "u"), *spread("item_vector", "v"))
 
 
@@ -208,12 +222,21 @@ def online_micro_batches(spark, sf_dir):
 
 
 def online_with_offline(spark, sf_dir):
-    r, model = _batched(spark, sf_dir, 4), Online(spark, rank=RANK, eta=ETA, retrain_every=2, retrain_sweeps=2)
+    r, model = _batched(spark, sf_dir, 3), Online(spark, rank=RANK, eta=ETA, blocks=2, retrain_every=2, retrain_sweeps=2)
     for n in range(3):
         model.process(r.where(F.col("batch") == n), n)
     return rows_of(model.factors(2))
 
 
+def online_stream_trace(spark, sf_dir):
+    """A row per rating, from the batches of a stream."""
+    r, model = _batched(spark, sf_dir, 3), Online(spark, rank=RANK, eta=ETA, blocks=2, keep_trace=True)
+    for n in range(3):
+        model.process(r.where(F.col("batch") == n), n)
+    log = model.trace(0).unionByName(model.trace(1)).unionByName(model.trace(2))
+    return log.select("seq", "user", "item", *spread("user_vector", "u"), *spread("item_vector", "v"))
+
+
 def running_fold(spark, sf_dir):
     r = _batched(spark, sf_dir, 3)
     none = spark.createDataFrame([], T.StructType([T.StructField("user", T.IntegerType()), T.StructField("n", T.LongType())]))
@@ -242,17 +265,28 @@ def ps_bsp_round(spark, sf_dir):
 
 
 def ps_sequential(spark, sf_dir):
-    return rows_of(ps.offline(event_ratings(spark, sf_dir), rank=RANK, eta=ETA, batch=1))
+    return rows_of(ps.offline(event_ratings(spark, sf_dir), rank=RANK, eta=ETA, batch=1, blocks=4))
+
+
+def ps_minibatches(spark, sf_dir):
+    """Bounded staleness between the extremes: four rounds over a quarter of the ratings each."""
+    r = event_ratings(spark, sf_dir)
+    return rows_of(ps.offline(r, rank=RANK, eta=0.0001, batch=-(-r.count() // 4)))
+
+
+def ps_stale_items(spark, sf_dir):
+    return rows_of(ps.stale_items(event_ratings(spark, sf_dir), rank=RANK, eta=0.0001, blocks=4))
 
 
 def ps_offline_online(spark, sf_dir):
-    r, server = _batched(spark, sf_dir, 3), ps.OfflineOnline(rank=RANK, eta=ETA)
+    r, server = _batched(spark, sf_dir, 3), OfflineOnline(spark, rank=RANK, eta=ETA, blocks=4)
+    sign = spark.range(1)
     for n in range(3):
-        server.feed(r.where(F.col("batch") == n), trigger=n == 1)
-    return rows_of(server.factors)
+        server.process(server.with_triggers(r.where(F.col("batch") == n), sign.where(F.lit(n == 1))), n)
+    return rows_of(server.factors(2))
 
 
-QUERIES = [ratings_from_orders, rating_occurrence_counts, factor_init_lcg, block_assignment, block_strata, rating_block_arrays, state_merge, vector_sum_push, last_value_wins, vector_functions, synthetic_ratings, predict_ratings, empirical_risk, objective, sgd_single_step, sgd_delta, sgd_sequential, dsgd_strata_k4, dsgd_known_vectors, dsgd_updates_only, dsgd_regularized, als_factors, online_trace, online_micro_batches, online_with_offline, running_fold, running_fold_of_two, ps_bsp_round, ps_sequential, ps_offline_online]
+QUERIES = [ratings_from_orders, rating_occurrence_counts, factor_init_lcg, block_assignment, block_strata, rating_block_arrays, item_arrays, state_merge, vector_sum_push, last_value_wins, vector_functions, synthetic_ratings, predict_ratings, empirical_risk, objective, sgd_single_step, sgd_delta, sgd_sequential, dsgd_strata_k4, dsgd_known_vectors, dsgd_updates_only, dsgd_regularized, als_factors, online_trace, online_micro_batches, online_with_offline, online_stream_trace, running_fold, running_fold_of_two, ps_bsp_round, ps_sequential, ps_minibatches, ps_stale_items, ps_offline_online]
 
 
 def queries():
@@ -331,6 +365,32 @@ def batch(parts: int) -> str:
     return f"(seq // ((SELECT max(event_id) + {parts} FROM events) // {parts}))"
 
 
+def minibatches(rounds: int, eta: float = 0.0001) -> str:
+    """SQL of rounds of gradient descent, each over the next part of the ratings in the order of seq."""
+    own = {"user": '"user"', "item": "item"}
+    parts = [f'WITH e AS ({EVENTS}), r AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // ((count(*) OVER () + {rounds - 1}) // {rounds}) AS turn FROM e)', *[f"{k}0 AS ({init(f'SELECT {c} AS id FROM r')})" for k, c in own.items()]]
+    for n in range(rounds):
+        parts.append(f'j{n} AS (SELECT r."user", r.item, a.vec AS u, b.vec AS v, {eta} * (rating - list_dot_product(a.vec, b.vec)) AS e FROM r JOIN user{n} a ON a.id = r."user" JOIN item{n} b ON b.id = r.item WHERE turn = {n})')
+        for kind, c in own.items():
+            other = "v" if kind == "user" else "u"
+            sums = ", ".join(f"sum(e * {other}[{k + 1}])" for k in range(RANK))
+            new = ", ".join(f"vec[{k + 1}] + coalesce(d[{k + 1}], 0)" for k in range(RANK))
+            parts.append(f"{kind}{n + 1} AS (SELECT id, [{new}] AS vec FROM {kind}{n} LEFT JOIN (SELECT {c} AS id, [{sums}] AS d FROM j{n} GROUP BY 1) USING (id))")
+    return ",\n".join(parts) + f" SELECT 'user' AS kind, id, {four('vec')} FROM user{rounds} UNION ALL SELECT 'item', id, {four('vec')} FROM item{rounds}"
+
+
+#: Each user's ratings in turn, in the order (item, seq), against the items' first vectors; all users go on at once.
+STALE = f"""WITH RECURSIVE e AS ({EVENTS}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY item, seq) AS k FROM e),
+u0 AS ({init('SELECT "user" AS id FROM e')}), v0 AS ({init("SELECT item AS id FROM e")}),
+run AS (
+  SELECT 0::BIGINT AS k, id AS "user", vec AS p, NULL::INTEGER AS item, NULL::DOUBLE[] AS d FROM u0
+  UNION ALL
+  SELECT k, "user", list_transform(list_zip(p, q), lambda x: x[1] + e * x[2]), item, list_transform(p, lambda x: e * x) FROM (
+    SELECT r.k, r."user", run.p, r.item, v0.vec AS q, 0.0001 * (r.rating - list_dot_product(run.p, v0.vec)) AS e FROM run JOIN r ON r."user" = run."user" AND r.k = run.k + 1 JOIN v0 ON v0.id = r.item))
+SELECT 'user' AS kind, "user" AS id, {four("arg_max(p, k)")} FROM run GROUP BY "user"
+UNION ALL SELECT 'item', item, {", ".join(f"round(any_value(vec[{k + 1}]) + sum(d[{k + 1}]), 6)" for k in range(RANK))} FROM run JOIN v0 ON v0.id = run.item GROUP BY item"""
+
+
 def oracle_sql() -> dict[str, str]:
     both = 'SELECT "user" AS id FROM r UNION SELECT item FROM r'
     with_orders = f'WITH r AS ({ORDERS}), i AS ({init(both)}), j AS (SELECT r.*, a.vec AS u, b.vec AS v FROM r JOIN i a ON a.id = r."user" JOIN i b ON b.id = r.item)'
@@ -338,12 +398,12 @@ def oracle_sql() -> dict[str, str]:
     vec = lambda x: f"list_transform(list_zip(u, v), lambda x: {x})"
     delta_u, delta_v = "list_transform(v, lambda x: e * x)", "list_transform(u, lambda x: e * x)"
     pick = lambda first, n: "coalesce(" + ", ".join(f"CASE WHEN floor(-ln(1 - vec[{first + 2 * t}]) / 5.0 * {n}) < {n} THEN floor(-ln(1 - vec[{first + 2 * t}]) / 5.0 * {n}) END" for t in range(4)) + ")::INTEGER"
-    odd = f'SELECT * FROM ({EVENTS}) WHERE "user" % 2 = 1'
-    known = f"""SELECT id, vec FROM (SELECT (id - 7)::INTEGER AS id, vec FROM ({init('SELECT s_suppkey::INTEGER + 7 AS id FROM supplier')})) UNION ALL
-SELECT id, vec FROM ({init('SELECT "user" AS id FROM r')}) WHERE id NOT IN (SELECT s_suppkey FROM supplier)"""
-    touched = """ WHERE kind = 'item' OR x.key IN (SELECT "user" FROM r)"""
+    known = """SELECT (id - 7)::INTEGER AS id, vec FROM (""" + init("SELECT c_custkey::INTEGER + 7 AS id FROM customer") + ")"
+    touched = f"""SELECT id, vec FROM ({known}) WHERE id IN (SELECT "user" FROM r) UNION ALL
+SELECT id, vec FROM ({init('SELECT "user" AS id FROM r')}) WHERE id NOT IN (SELECT c_custkey FROM customer)"""
+    untouched = f""" UNION ALL SELECT 'user', id, {four("vec")} FROM ({known}) WHERE id NOT IN (SELECT "user" FROM r)"""
     weights = 'SELECT *, count(*) OVER (PARTITION BY "user") AS wu, count(*) OVER (PARTITION BY item) AS wv, 0.02 / sqrt(1 + ((item % 2 - "user" % 2 + 2) % 2)) AS eta FROM (' + EVENTS + ")"
-    retrained = f"SELECT * FROM (SELECT *, 0 AS turn FROM ({EVENTS}) WHERE {batch(4)} < 2 UNION ALL SELECT *, 1 AS turn FROM ({EVENTS}) WHERE {batch(4)} < 3)"
+    retrained = f"SELECT * FROM (SELECT *, 0 AS turn FROM ({EVENTS}) WHERE {batch(3)} < 2 UNION ALL SELECT *, 1 AS turn FROM ({EVENTS}))"
     gradient = f"""WITH r AS ({EVENTS}), i AS ({init(both)}), j AS (SELECT r.*, a.vec AS u, b.vec AS v, 0.0001 * (rating - list_dot_product(a.vec, b.vec)) AS e FROM r JOIN i a ON a.id = r."user" JOIN i b ON b.id = r.item),
 d AS (SELECT 'user' AS kind, "user" AS id, u AS old, {delta_u} AS d FROM j UNION ALL SELECT 'item', item, v, {delta_v} FROM j)
 SELECT kind, id, {', '.join(f'round(any_value(old[{k + 1}]) + sum(d[{k + 1}]), 6) AS f{k}' for k in range(RANK))} FROM d GROUP BY kind, id"""
@@ -355,6 +415,7 @@ SELECT kind, id, {', '.join(f'vec[{k + 1}] AS f{k}' for k in range(RANK))} FROM
         "block_assignment": "SELECT c_custkey::INTEGER AS id, (c_custkey % 8)::INTEGER AS block, (c_custkey % 8)::INTEGER AS negative_block, ((c_custkey % 8 + 3) % 8)::INTEGER AS shifted, (c_custkey % 8 * 9)::INTEGER AS first, (c_custkey % 8 * 8 + (c_custkey % 8 + 1) % 8)::INTEGER AS next_user, ((c_custkey % 8 + 7) % 8 * 8 + c_custkey % 8)::INTEGER AS next_item FROM customer",
         "block_strata": f'SELECT ("user" % 4 * 4 + item % 4)::INTEGER AS rating_block, (("user" % 4 - item % 4 + 4) % 4)::INTEGER AS behind, ((item % 4 - "user" % 4 + 4) % 4)::INTEGER AS ahead, count(*) AS n FROM ({ORDERS}) GROUP BY 1, 2, 3',
         "rating_block_arrays": f'WITH r AS ({EVENTS}), o AS (SELECT *, "user" % 3 * 3 + item % 3 AS b, row_number() OVER (PARTITION BY "user" % 3 * 3 + item % 3 ORDER BY "user", item, rating, seq) AS k FROM r) SELECT b::INTEGER AS rating_block, count(*) AS n, max(CASE WHEN k = 1 THEN "user" END) AS first_user, max(CASE WHEN k = 1 THEN item END) AS first_item, round(sum(rating), 4) AS total FROM o GROUP BY b',
+        "item_arrays": f'WITH r AS ({EVENTS}), o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY "user", item, rating, seq) AS k FROM r) SELECT item, count(*) AS n, max(CASE WHEN k = 1 THEN "user" END) AS first_user, max(CASE WHEN k = 1 THEN item END) AS first_item, round(sum(rating), 4) AS total FROM o GROUP BY item',
         "state_merge": "WITH n AS (SELECT (user_id * 2)::INTEGER AS id, max(value) AS x FROM events GROUP BY 1) SELECT coalesce(c_custkey::INTEGER, n.id) AS id, coalesce(n.x, c_acctbal) AS x FROM customer FULL JOIN n ON c_custkey = n.id",
         "vector_sum_push": "WITH e AS (SELECT label, embedding, unnest(range(0, len(embedding))) AS k FROM embeddings) SELECT label AS id, k::INTEGER AS place, round(sum(embedding[k + 1]::DOUBLE), 6) AS total FROM e GROUP BY 1, 2",
         "last_value_wins": "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
@@ -368,15 +429,19 @@ SELECT "user", item, 1.0::DOUBLE AS rating, id::BIGINT AS seq, law FROM m WHERE
         "sgd_delta": f"{with_events} SELECT seq, {four(delta_u, 'u')}, {four(delta_v, 'v')} FROM j",
         "sgd_sequential": sgd(ordered(EVENTS, "seq")),
         "dsgd_strata_k4": sgd(ordered(EVENTS, stratified(4))),
-        "dsgd_known_vectors": sgd(ordered(odd, stratified(2)), users=known),
-        "dsgd_updates_only": sgd(ordered(odd, stratified(2)), users=known, more=touched),
+        "dsgd_known_vectors": sgd(ordered(EVENTS, stratified(2)), users=touched, more=untouched),
+        "dsgd_updates_only": sgd(ordered(EVENTS, stratified(2)), users=touched),
         "dsgd_regularized": sgd(ordered(weights, stratified(2, True), ", eta, wu, wv"), eta="eta", penalty="0.1"),
-        "online_trace": sgd(ordered(EVENTS, "seq"), trace=True),
+        "online_trace": sgd(ordered(EVENTS, stratified(4)), trace=True),
+        "online_stream_trace": sgd(ordered(EVENTS, f"{batch(3)}, {stratified(2)}"), trace=True),
+        "als_factors": f'SELECT DISTINCT "user", 0.0::DOUBLE AS residual FROM ({EVENTS})',
         "online_micro_batches": sgd(ordered(EVENTS, f"{batch(3)}, {stratified(2)}")),
-        "online_with_offline": sgd(ordered(retrained, "turn, seq")),
+        "online_with_offline": sgd(ordered(retrained, f"turn, {batch(3)} = 2, {stratified(2)}")),
         "running_fold": f'WITH b AS (SELECT "user", {batch(3)} AS b FROM ({EVENTS})), n AS (SELECT unnest([0, 1, 2]) AS batch) SELECT "user", count(*) AS n, batch::INTEGER AS batch FROM b JOIN n ON b <= batch GROUP BY 1, 3',
         "running_fold_of_two": f"WITH r AS ({EVENTS}) SELECT 'user' AS kind, \"user\" AS id, round(sum(rating), 4) AS total FROM r GROUP BY 2 UNION ALL SELECT 'item', item, round(sum(rating), 4) FROM r GROUP BY 2",
         "ps_bsp_round": gradient,
-        "ps_sequential": sgd(ordered(EVENTS, "seq")),
-        "ps_offline_online": sgd(ordered(EVENTS, "seq")),
+        "ps_sequential": sgd(ordered(EVENTS, stratified(4))),
+        "ps_minibatches": minibatches(4),
+        "ps_stale_items": STALE,
+        "ps_offline_online": sgd(ordered(EVENTS, f"{batch(3)} = 2, {stratified(4)}")),
     }

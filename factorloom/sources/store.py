@@ -13,14 +13,17 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder.
 
-    Where it is unset (tests in local mode), a temporary folder is made and set; it
-    goes when the process ends.
+    Where neither is set, a session in local mode (tests) gets a temporary folder, which
+    goes when the process ends. On a cluster that is an error: executors would write to
+    their own disks.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at and not (_MADE and at.startswith(_MADE[0])):
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _MADE:
         at = tempfile.mkdtemp(prefix="factorloom-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)

@@ -35,13 +35,18 @@ def due(batch: int, every: int | None) -> bool:
 class Online:
     """Online factorization, by default with plain SGD; with ``retrain_every`` it trains anew on all history now and then.
 
-    ``process`` is what ``foreachBatch`` calls. Updates of batch n are in ``updates(n)``.
+    ``process`` is what ``foreachBatch`` calls. Updates of batch n are in ``updates(n)``;
+    with ``keep_trace``, ``trace(n)`` has a row per rating of an online batch, with both
+    vectors as it left them.
     """
 
+    #: Whether ratings are kept for a training that no period announces.
+    remembers = False
+
     spark: SparkSession
     rank: int = 10
     eta: float = 0.001
-    blocks: int = 1
+    blocks: int | None = None
     init: Initialiser | None = None
     updater: Updater | None = None
     retrain_every: int | None = None
@@ -49,6 +54,7 @@ class Online:
     retrain_sweeps: int = 10
     path: str | None = None
     compact_every: int = 8
+    keep_trace: bool = False
     state: VersionedState = field(init=False)
     history: History = field(init=False)
 
@@ -61,11 +67,12 @@ class Online:
         self.state = VersionedState(self.spark, self.path and f"{self.path}/state", keep=2 * self.compact_every + 1)
         self.history = History(self.spark, self.path and f"{self.path}/history")
 
-    def process(self, batch: DataFrame, number: int) -> DataFrame:
+    def process(self, batch: DataFrame, number: int, retrain: bool | None = None) -> DataFrame:
+        """Take a batch; returns the vectors it changed. retrain: train on all history now, whatever the period says."""
         batch = stored(batch.select("user", "item", "rating", "seq"), "batch")
-        if self.retrain_every not in (None, -1):
+        if self.remembers or self.retrain_every not in (None, -1):
             self.history.append(batch, number)
-        if due(number, self.retrain_every):
+        if due(number, self.retrain_every) if retrain is None else retrain:
             every = self.history.upto(number)
             if self.retrain == "ALS":
                 after = als(every, self.rank, self.retrain_sweeps)
@@ -76,7 +83,10 @@ class Online:
         known = self.factors(number - 1)
         if known is not None:  # only the vectors that the batch needs move
             known = known.join(start(batch, self.init).select("kind", "id"), ["kind", "id"], "left_semi")
-        made = offline_dsgd(batch, self.init, self.updater, known=known, blocks=self.blocks, updates_only=True)
+        vectors, log = descend(batch, start(batch, self.init, known), self.updater, blocks=self.blocks, trace=self.keep_trace)
+        made = vectors.where("touched").select("kind", "id", "vector")
+        if log is not None:
+            self.state.write(log.drop("step"), number, "trace")
         updates = self.state.write(made, number, "updates")
         if due(number, self.compact_every):
             self._rebase(self.factors(number), number)
@@ -92,6 +102,10 @@ class Online:
     def updates(self, number: int) -> DataFrame:
         return self.spark.read.parquet(self.state.at(number, "updates"))
 
+    def trace(self, number: int) -> DataFrame:
+        """seq, user, item, user_vector, item_vector of each rating of a batch that was processed online."""
+        return self.spark.read.parquet(self.state.at(number, "trace"))
+
     def factors(self, number: int) -> DataFrame | None:
         """All vectors after a batch: the newest base, and of the later updates the last of each id."""
         base = self.state.newest(number, "base")
@@ -108,6 +122,37 @@ class Online:
         return ratings.writeStream.foreachBatch(lambda df, n: run(df, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+@dataclass
+class OfflineOnline(Online):
+    """Online training that a stream of triggers interrupts.
+
+    A batch that holds a trigger starts both sides anew and trains ``retrain_sweeps``
+    times on all ratings up to it, its own included; later batches go on online from
+    there. Batches hold ratings and triggers in one stream (``with_triggers``), so a
+    batch that runs again finds the same, and state by version makes it do the same.
+    """
+
+    retrain_sweeps: int = 1
+    remembers = True
+
+    @staticmethod
+    def with_triggers(ratings: DataFrame, triggers: DataFrame) -> DataFrame:
+        """ratings, and a row per row of triggers that has ``trigger`` true and nothing else."""
+        signs = triggers.select(F.lit(None).cast("int").alias("user"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("trigger"))
+        return ratings.select("user", "item", "rating", "seq", F.lit(False).alias("trigger")).unionByName(signs)
+
+    def process(self, batch: DataFrame, number: int, retrain: bool | None = None) -> DataFrame:
+        if "trigger" in batch.columns:
+            retrain = not batch.where("trigger").isEmpty()
+            batch = batch.where("not trigger")
+        return super().process(batch, number, bool(retrain))
+
+
+def to_console(updates: DataFrame, checkpoint: str, rows: int = 20, mode: str = "append", **trigger):
+    """Print each micro-batch of a stream; by default what is there, once."""
+    return updates.writeStream.format("console").outputMode(mode).option("numRows", rows).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def fold(spark: SparkSession, first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], path: str | None = None):
     """A running fold: (process, state). process(batch, n) writes and returns step(state of n - 1, batch); state.read(n) is the state."""
     state = VersionedState(spark, path)
@@ -132,7 +177,7 @@ def fold2(spark: SparkSession, first: tuple[DataFrame, DataFrame], step: Callabl
     return process, state
 
 
-def traced(ratings: DataFrame, *, rank: int = 10, eta: float = 0.001, blocks: int = 1, init: Initialiser | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def traced(ratings: DataFrame, *, rank: int = 10, eta: float = 0.001, blocks: int | None = None, init: Initialiser | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(trace, vectors): a row per rating with both vectors as it left them; each user's ratings in the order of seq."""
     init = init or pseudo_random(rank)
     vectors, log = descend(ratings, start(ratings, init, known), SGD(eta), blocks=blocks, trace=True)

@@ -28,7 +28,7 @@ def test_als_beats_the_mean_and_repeats(spark, small):
     error, spread = made.agg(F.sqrt(F.avg((F.col("rating") - F.col("prediction")) ** 2)), F.stddev_pop("rating")).first()
     assert error < spread / 2
     assert sorted(map(str, factors.collect())) == sorted(map(str, als(r, 2, 5, seed=1, blocks=2).collect()))
-    ids = {(x["kind"], x["id"]) for x in q.als_factors(spark, small).collect()}
+    ids = {(x["kind"], x["id"]) for x in als(q.event_ratings(spark, small), 4, 2).collect()}
     assert ids == {("user", x.user) for x in q.event_ratings(spark, small).select("user").distinct().collect()} | {("item", i) for i in range(5)}
 
 

@@ -10,7 +10,7 @@ from factorloom.operators import parameter_server as ps
 from factorloom.operators.train import offline_dsgd
 from factorloom.sources.ratings import discrete, from_memory, generated, stream_files, stream_rate
 from factorloom.sources.store import VersionedState
-from factorloom.streaming.online import Online, due, fold
+from factorloom.streaming.online import OfflineOnline, Online, due, fold, to_console, traced
 
 from .test_training import ROWS, as_dict, close
 
@@ -124,12 +124,71 @@ def test_d23_seeded_order_takes_effect(spark):
 
 
 def test_d25_d26_d31_trigger_starts_both_sides_anew(spark):
-    server = ps.OfflineOnline(rank=3, eta=0.05, sweeps=2)
+    server = OfflineOnline(spark, rank=3, eta=0.05, retrain_sweeps=2)
     first, second = from_memory(spark, ROWS[:30]), from_memory(spark, ROWS[:60]).where("seq >= 30")
-    changed = as_dict(server.feed(first))
+    changed = as_dict(server.process(first, 0))
     close(changed, as_dict(offline_dsgd(first, pseudo_random(3), SGD(0.05))))
-    server.feed(second, trigger=True)
-    close(as_dict(server.factors), as_dict(offline_dsgd(from_memory(spark, ROWS[:60]), pseudo_random(3), SGD(0.05), sweeps=2)))
+    want = as_dict(offline_dsgd(from_memory(spark, ROWS[:60]), pseudo_random(3), SGD(0.05), sweeps=2))
+    for _ in range(2):  # again, as after a failure
+        server.process(second, 1, True)
+        close(as_dict(server.factors(1)), want)
+    assert server.history.upto(1).count() == 60
+
+
+def test_triggers_come_as_a_stream(spark, tmp_path):
+    """Three files of ratings, the second with a trigger beside it; the query stops and goes on."""
+    r = from_memory(spark, ROWS[:90])
+    server = OfflineOnline(spark, rank=3, eta=0.05, retrain_sweeps=2, path=str(tmp_path / "model"))
+    signs = spark.createDataFrame([(1,)], "at int")
+    for n in range(3):
+        rows = r.where(F.floor(F.col("seq") / 30) == n)
+        server.with_triggers(rows, signs.where(F.lit(n == 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("user int, item int, rating double, seq long, trigger boolean").parquet(str(tmp_path / "in"))
+        query = server.start(stream, str(tmp_path / "checkpoint"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    trained = offline_dsgd(from_memory(spark, ROWS[:60]), pseudo_random(3), SGD(0.05), sweeps=2)
+    close(as_dict(server.factors(2)), as_dict(offline_dsgd(r.where("seq >= 60"), pseudo_random(3), SGD(0.05), known=trained)))
+
+
+def test_a_row_per_rating_from_a_stream(spark, tmp_path):
+    write_batches(spark, str(tmp_path / "in"))
+    model = Online(spark, rank=3, eta=0.05, path=str(tmp_path / "model"), keep_trace=True)
+    model.start(stream_files(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint")).awaitTermination(120)
+    log, _ = traced(from_memory(spark, ROWS), rank=3, eta=0.05)
+    want = {x.seq: (x.user, x.item, x.user_vector, x.item_vector) for x in log.collect()}
+    got = {x.seq: (x.user, x.item, x.user_vector, x.item_vector) for n in range(3) for x in model.trace(n).collect()}
+    assert got.keys() == want.keys() and len(got) == len(ROWS)
+    for seq, (user, item, u, v) in want.items():
+        assert got[seq][:2] == (user, item) and np.allclose(got[seq][2], u) and np.allclose(got[seq][3], v)
+
+
+def test_stale_items_take_users_in_turn(spark):
+    r = from_memory(spark, [(1, 5, 1.0), (1, 6, 0.5), (2, 5, 0.2), (1, 5, 0.7)])
+    init, eta = pseudo_random(2), 0.1
+    first = {x.id: np.array(x.v) for x in spark.createDataFrame([(i,) for i in (1, 2, 5, 6)], "id int").select("id", init(F.col("id")).alias("v")).collect()}
+    u, v = {k: first[k].copy() for k in (1, 2)}, {k: first[k].copy() for k in (5, 6)}
+    for user, item, rating in ((1, 5, 1.0), (2, 5, 0.2), (1, 5, 0.7), (1, 6, 0.5)):
+        e = eta * (rating - u[user] @ first[item])
+        v[item] += e * u[user]
+        u[user] = u[user] + e * first[item]
+    want = {("user", k): x for k, x in u.items()} | {("item", k): x for k, x in v.items()}
+    for blocks in (1, 2):
+        close(as_dict(ps.stale_items(r, rank=2, eta=eta, blocks=blocks)), want)
+
+
+def test_console_and_a_rate_that_is_kept(spark, tmp_path):
+    write_batches(spark, str(tmp_path / "in"), 1)
+    query = to_console(stream_files(spark, str(tmp_path / "in")), str(tmp_path / "a"))
+    query.awaitTermination(60)
+    assert query.exception() is None and sum(p["numInputRows"] for p in query.recentProgress) == 50
+    query = stream_rate(spark, 40, 5, 5).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "b")).trigger(processingTime="1 second").start()
+    try:
+        query.awaitTermination(9)
+        rows = [p["numInputRows"] for p in query.recentProgress]
+        assert sum(rows) > 100 and sum(rows) % 40 == 0 and sum(rows) <= 40 * 10
+    finally:
+        query.stop()
 
 
 def test_compaction_changes_nothing(spark):

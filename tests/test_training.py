@@ -10,11 +10,13 @@ from factorloom.functions import rates
 from factorloom.functions.initialisers import custom, pseudo_random, unseeded
 from factorloom.functions.updates import SGD, Mock, RegularizedSGD
 from factorloom.functions.vectors import block_of, dot
+from factorloom.operators import parameter_server as ps
 from factorloom.operators.predict import empirical_risk, objective, predictions
-from factorloom.operators.state import fanned_out, looked_up, side, tagged, unblocked
+from factorloom.operators.state import fanned_out, looked_up, ratings_by_item, side, tagged, unblocked
 from factorloom.operators.train import DSGD, Model, offline_dsgd
 from factorloom.plans.kernel import Diverged, levels, sweep
-from factorloom.plans.strata import check_rank, descend, start
+from factorloom.plans.strata import blocks_for, check_rank, descend, start
+from factorloom.sources import store
 from factorloom.sources.ratings import from_csv, from_memory
 
 GEN = np.random.default_rng(1)
@@ -130,7 +132,7 @@ def test_d13_schedule():
 
 def test_d14_defaults():
     d = DSGD()
-    assert (d.rank, d.penalty, d.sweeps, d.blocks, d.seed, d.eta) == (10, 1.0, 10, 1, 0, 0.001)
+    assert (d.rank, d.penalty, d.sweeps, d.blocks, d.seed, d.eta) == (10, 1.0, 10, None, 0, 0.001)
     with pytest.raises(ValueError):
         DSGD(rank=0)
 
@@ -184,3 +186,50 @@ def test_small_operators(spark, tmp_path):
     assert dict(looked_up(ids, v, lambda c: F.array(F.lit(9.0))).collect()) == {1: [1.0], 2: [9.0]}
     from_memory(spark, ROWS[:5]).write.csv(str(tmp_path / "r"))
     assert sorted(from_csv(spark, str(tmp_path / "r")).collect()) == sorted(from_memory(spark, ROWS[:5]).collect())
+
+
+def test_nulls_and_repeated_known_vectors(spark):
+    """Ratings with a null take no part; of several known vectors the smallest counts."""
+    rows = [(1, 2, 0.5, 0), (None, 2, 0.1, 1), (1, None, 0.1, 2), (1, 2, None, 3), (3, 2, 0.9, 4), (3, 2, 0.9, 4)]
+    r = spark.createDataFrame(rows, "user int, item int, rating double, seq long")
+    known = spark.createDataFrame([("user", 1, [0.5, 0.1]), ("user", 1, [0.2, 0.3]), ("user", None, [1.0, 1.0]), ("user", 9, [1.0, 2.0]), ("user", 9, None)], "kind string, id int, vector array<double>")
+    one = spark.createDataFrame([("user", 1, [0.2, 0.3]), ("user", 9, [1.0, 2.0])], "kind string, id int, vector array<double>")
+    init = pseudo_random(2)
+    want = as_dict(offline_dsgd(r.dropna(), init, SGD(0.1), known=one))
+    assert want.keys() == {("user", 1), ("user", 3), ("user", 9), ("item", 2)}
+    for blocks in (1, 2):
+        close(as_dict(offline_dsgd(r, init, SGD(0.1), known=known, blocks=blocks)), as_dict(offline_dsgd(r.dropna(), init, SGD(0.1), known=one, blocks=blocks)))
+    for f in (lambda x: DSGD(rank=2).fit(x).factors, lambda x: ps.offline(x, rank=2), lambda x: ps.offline(x, rank=2, batch=1), lambda x: ps.stale_items(x, rank=2)):
+        close(as_dict(f(r)), as_dict(f(r.dropna())))
+    made = spark.createDataFrame([(1,), (None,)], "id int").select(custom(lambda i: [i])(F.col("id")).alias("v")).collect()
+    assert [x.v for x in made] == [[1.0], None]
+
+
+def test_blocks_grow_with_the_ratings(spark):
+    assert [blocks_for(spark.range(n), 10) for n in (0, 1, 10, 11, 40, 41, 90, 91)] == [1, 1, 1, 2, 2, 3, 3, 4]
+
+
+def test_arrays_by_item_have_bounded_rows(spark):
+    r = from_memory(spark, [(n, 0 if n % 3 else n, 1.0) for n in range(300)])
+    made = ratings_by_item(r, 20).collect()
+    assert sorted((x.user, x.item) for row in made for x in row.ratings) == sorted((n, 0 if n % 3 else n) for n in range(300))
+    assert len([row for row in made if row.item == 0]) > 5 and all(len(row.ratings) < 60 and row.ratings == sorted(row.ratings) for row in made)
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    class Fake:
+        master, at = "spark://x", None
+
+        @property
+        def sparkContext(self):
+            return self
+
+        conf = property(lambda self: self)
+        get = lambda self, name, other: other
+        getCheckpointDir = lambda self: self.at
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_dir(Fake())
+    fake = Fake()
+    fake.at = "hdfs://a/b"
+    assert store.shared_dir(fake) == "hdfs://a/b"
