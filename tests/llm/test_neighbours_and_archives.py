@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import archives
 from factorloom.llm.common import scratch, table
-from factorloom.llm.neighbours import InvertedFile, nearest, nearest_pivots, op9_permutation_ann
+from factorloom.llm.neighbours import Block, fitted_share, nearest, nearest_pivots, op9_permutation_ann
 
 from ..conftest import same
 
@@ -69,8 +69,9 @@ def test_recall_over_several_blocks(spark):
 
 def test_footrule_from_postings():
     rng = np.random.default_rng(2)
-    orders = nearest_pivots(rng.normal(size=(50, 4)), rng.normal(size=(12, 4)), 5)
-    index = InvertedFile(orders, 12)
+    rows, pivots = rng.normal(size=(50, 4)), rng.normal(size=(12, 4))
+    index = Block.of(np.arange(50), np.arange(50), rows, pivots, 5)
+    orders = nearest_pivots(index.vectors, pivots, 5)
     place = lambda o, p: int(np.flatnonzero(o == p)[0]) if p in o else 5
     for q in orders[:10]:
         gain = index.closeness(q)
@@ -78,6 +79,32 @@ def test_footrule_from_postings():
         assert len(set((gain + rule).tolist())) == 1
 
 
+def test_layout_does_not_matter(spark):
+    df = table(spark, "/root/testdata/sf0.01", "embeddings")
+    hot = df.where("vec_id % 3 = 0").withColumn("embedding", F.lit([0.5] * 64).cast("array<float>"))
+    df = hot.unionByName(df.where("vec_id % 3 > 0")) if len(df.first().embedding) == 64 else df
+    runs = [sorted(map(tuple, nearest(df.repartition(n), F.col("vec_id") % 100 == 0, block=300, chunk=7).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 10 * df.where("vec_id % 100 = 0").count()
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 32)) * 4
+    v = centres[rng.integers(0, 150, 6000)] + rng.normal(size=(6000, 32))
+    pivots = v[:256]
+    assert fitted_share(v[:2048], pivots, 20, 10, 0.95) < 0.1
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 100 == 0, block=2000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit / 600 >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1.0)]
