@@ -86,10 +86,10 @@ def test_gradients_of_the_recurrent_network():
     one.p = [p.astype(np.float64) for p in one.p]
     x, mask = rng.normal(size=(2, 4, 5)), np.array([[1.0, 1, 1, 1], [1, 1, 0, 0]])
     weight = rng.normal(size=(2, 4, 3)) * mask[:, :, None]
-    loss = lambda: float((one.forward(x, mask).astype(np.float64) * weight).sum())
+    loss = lambda: float((one.forward(x, mask)[0].astype(np.float64) * weight).sum())
     _, trace = one.forward(x, mask, True)
-    grads = one.backward(x, trace, weight)
-    for p, g in zip(one.p, grads, strict=True):
+    grads, along = one.backward(x, trace, weight)
+    for p, g in zip([*one.p, x], [*grads, along], strict=True):
         for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(6)]:
             old = p[at]
             p[at] = old + 1e-2
@@ -105,6 +105,8 @@ def test_pages(spark):
     rows = [(1, "u", page, "x"), (2, None, None, None), (3, "u", "", ""), (4, "u", "<nav><a>x</a></nav>", "y"), (1, "u", page, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html.extract(df).collect()
+    again = html.extract(df.withColumnRenamed("text", "MAIN_TEXT"))
+    assert again.columns == ["page_id", "url", "html", "MAIN_TEXT", "main_text_1"] and sorted(r.main_text_1 for r in again.collect()) == sorted(r.main_text for r in got)
     assert sorted(r.main_text for r in got) == sorted(["A & B\nFirst para graph <x> é.\nSecond one bold."] * 2 + [""] * 3)
     assert html.extract(df.limit(0)).count() == 0
 
@@ -115,7 +117,7 @@ def test_invented_pages_held_out():
     for text, labels in [source.page() for _ in range(80)]:
         rows = html.blocks(text)
         if rows:
-            p = html.trained().probabilities([html.features(rows)])[0]
+            p = html.trained().probabilities([html.Rows(rows)])[0]
             right, every = right + int(((p >= 0.5) == np.array(labels)).sum()), every + len(labels)
     assert right / every > 0.96
 
@@ -147,3 +149,58 @@ def test_omitted_end_tags_and_formulas_lose_no_block():
     assert told("<head><title>t</title><style>a</style><p>One</p></head>Two") == ["One", "Two"]
     assert told("<head><meta charset=utf-8><title>t</title>Bare text<ul><li>a<li>b</ul>") == ["Bare text", "a", "b"]
     assert told("<head><noscript><img src=a>no</noscript><title>t</title></head><body><p>One") == ["One"]
+
+
+def test_every_word_of_a_block_counts():
+    texts = ["One, two three.", "", "two", "ÄÖ two (one)! one", "x" * 5000 + " three"]
+    bins, counts = html.word_bins(texts)
+    assert counts.tolist() == [3, 0, 1, 4, 2] and bins[0] == bins[6] == bins[7] and bins[1] == bins[3] == bins[5] and bins[2] == bins[9]
+    long = html.blocks("<p>" + "word " * 50 + "middle " + "word " * 50)
+    page = html.Rows(long)
+    vectors = np.random.default_rng(1).normal(size=(html.WORD_BINS, html.WORD_SIZE)).astype(np.float32)
+    said = page.inputs(vectors)[0, html.PATH_BINS : html.PATH_BINS + html.WORD_SIZE]
+    np.testing.assert_allclose(said, vectors[page.bins].mean(0), rtol=1e-4, atol=1e-5)
+    assert len(page.bins) == 101 and len(set(page.bins.tolist())) == 2
+
+
+def test_gradient_of_the_word_vectors():
+    rows = [html.Rows(html.blocks(p)) for p in ("<p>a b c<p>b", "<div>c c a")]
+    model, said = html.Labeller(), np.random.default_rng(2).normal(size=(2, 2, html.WORD_SIZE)).astype(np.float32)
+    want = np.zeros_like(model.vectors)
+    for d, page in zip(said, rows, strict=True):
+        at = 0
+        for k, n in enumerate(page.words):
+            for b in page.bins[at : at + n]:
+                want[b] += d[k] / n
+            at += n
+    np.testing.assert_allclose(model.word_gradient(said, rows), want, rtol=1e-4, atol=1e-6)
+
+
+def test_zero_width_spaces_and_fallbacks_stay():
+    told = lambda page: [b.text for b in html.blocks(page)]
+    assert told("<article><p>one\u200btwo  three\u00a0four</p><object>shown</object><noscript>plain</noscript></article>") == ["one\u200btwo three four", "shown", "plain"]
+
+
+def test_very_deep_and_very_long_pages():
+    """Half a million blocks, and 50,000 open tags: no copies of ancestors, no page held at once."""
+    import tracemalloc
+
+    model = html.trained()
+    deep = "<article>" + "<div class=x>word" * 50_000
+    tracemalloc.start()
+    found = html.blocks(deep)
+    assert len(found) == 50_000 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    short = html.blocks("<nav><a>x</a></nav><article>" + "<p>Some words, and more of them.</p>" * 300 + "</article><footer>© a</footer>")
+    np.testing.assert_allclose(model.probabilities_of_long(short, 64), model.probabilities([html.Rows(short)])[0], atol=1e-4)
+    long = "<nav><a>x</a></nav><article>" + "<p>Some words.</p>" * 500_000 + "</article>"
+    text = html.main_texts([long], model)[0]
+    assert text.count("\n") == 499_999
+
+
+def test_weights_are_stored_once(spark, monkeypatch):
+    a = html.trained(pages=20, seed=1, spark=spark)
+    html._TRAINED.pop((20, 1))
+    monkeypatch.setattr(html.Labeller, "train", None)
+    b = html.trained(pages=20, seed=1, spark=spark)
+    assert a is not b and all((x == y).all() for x, y in zip(a.params(), b.params(), strict=True))
