@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc32_of, one_thread, stored, table, tidied
+from .common import crc32_of, one_thread, own_name, stored, table, tidied
 
 BINS = 1 << 13
 BLOCK = 1 << 20
@@ -91,27 +91,24 @@ class LanguageModel:
         for at, _ in counts:
             seen[at] += 1
         self.idf = (np.log((1 + len(langs)) / (1 + seen)) + 1).astype(np.float32)
-        rows = np.zeros((len(counts), BINS), np.float32)
-        for row, (at, c) in zip(rows, counts, strict=True):
-            row[at] = weights(at, c, self.idf)
-        sizes = np.array([c.sum() for _, c in counts], np.int64)
-        of, names = np.array([known.index(x) for x in langs]), []
-        centres = []
-        for k, name in enumerate(known):
-            some = clustered(rows[of == k], per_language, seed + k)
+        of, names, centres = np.array([known.index(x) for x in langs], int), [], []
+        # A band's limit: a part of the low end of what the sample's texts of this band reach.
+        self.limits, low = np.zeros((len(known), len(BANDS) + 1)), 0.0
+        for k in range(len(known)):  # one language's rows at a time
+            own = np.flatnonzero(of == k)
+            rows = np.zeros((len(own), BINS), np.float32)
+            for row, i in zip(rows, own, strict=True):
+                row[counts[i][0]] = weights(*counts[i], self.idf)
+            some = clustered(rows, per_language, seed + k)
             centres.append(some)
             names += [k] * len(some)
-        self.langs, self.names = known, np.array(names, int)
-        self.centres = np.concatenate(centres) if centres else np.zeros((0, BINS), np.float32)
-        # A band's limit: a part of the low end of what the sample's texts of this band reach.
-        near = np.stack([(rows @ self.centres[self.names == k].T).max(1) for k in range(len(known))], 1) if known else np.zeros((0, 0))
-        band, self.limits = np.searchsorted(BANDS, sizes // 3, side="right"), np.zeros((len(known), len(BANDS) + 1))
-        low = 0.0
-        for k in range(len(known)):
+            near = (rows @ some.T).max(1)
+            band = np.searchsorted(BANDS, np.array([counts[i][1].sum() for i in own]) // 3, side="right")
             for b in range(len(BANDS) + 1):
-                own = near[(of == k) & (band == b), k]
-                low = SLACK[b] * float(np.quantile(own, 0.02)) if len(own) >= 5 else (low if b else 0.0)
+                low = SLACK[b] * float(np.quantile(near[band == b], 0.02)) if (band == b).sum() >= 5 else (low if b else 0.0)
                 self.limits[k, b] = low
+        self.langs, self.names = known, np.array(names, int)
+        self.centres = np.concatenate(centres) if centres else np.zeros((0, BINS), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The nearest centroid's language, the cosine, and whether it is too far."""
@@ -126,21 +123,23 @@ class LanguageModel:
         return self.langs[k], score, score < self.limits[k, np.searchsorted(BANDS, counts.sum() // 3, side="right")]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, draw=None, per_label: int = 400, per_language: int = 4, languages: int = 200) -> LanguageModel:
-    """Fit on at most ``per_label`` rows of each of the ``languages`` most frequent languages; rows without a language are not used.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, draw=None, per_label: int = 400, per_language: int = 4, rows: int = 80_000) -> LanguageModel:
+    """Fit on at most ``per_label`` rows of each language, and ``rows`` of all (but one of each language at least); rows without a language are not used.
 
     The order of ``draw`` (by default a hash of the text) chooses the rows. Rows are
     first thinned to about twice that number by draw and the languages' counts, so
-    that no language's rows meet in one task. The driver gets the sample's n-gram
-    counts, at most ``BINS`` numbers a row.
+    that no language's rows meet in one task; languages of which nothing is left then
+    (their rows have one draw) are drawn from their different rows. The driver gets the
+    sample's n-gram counts, at most ``BINS`` numbers a row.
     """
     draw = F.xxhash64(text_col) if draw is None else draw
     slim = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")).where("lang is not null and text is not null")
-    sizes = stored(slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages), "languages")
+    sizes = stored(slim.groupBy("lang").count(), "languages")
+    per_label = max(1, min(per_label, rows // max(1, sizes.count())))
     share = F.least(F.lit(1.0), 2.0 * per_label / F.col("count"))
     thin = slim.join(sizes, "lang").where(F.pmod("draw", F.lit(1_000_003)) < F.ceil(share * 1_000_003))
     drawn = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = thin.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_label).select("lang", "text")
+    first = lambda df: df.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_label).select("lang", "text")
 
     @tidied
     def count(batches):
@@ -154,9 +153,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
     counted = lambda df: df.select("lang", "text").mapInArrow(count, "lang string, counts binary").collect()
-    got = counted(sample)
-    for lang in {r["lang"] for r in sizes.collect()} - {r["lang"] for r in got}:  # rows that draw does not tell apart, or without letters
-        got += counted(slim.where(F.col("lang") == lang).limit(per_label))
+    got = counted(first(thin))
+    missing = sizes.where(~F.col("lang").isin({r["lang"] for r in got})) if got else sizes
+    if not missing.isEmpty():
+        got += counted(first(slim.join(missing.select("lang"), "lang", "left_semi").distinct()))
     got = sorted((r["lang"], bytes(r["counts"])) for r in got)
     counts = [np.frombuffer(c, "<i4").reshape(2, -1) for _, c in got]
     with one_thread():
@@ -164,14 +164,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """df with the predicted language, its score and whether the text is rejected.
+    """df with the predicted language, its score and whether the text is rejected, under ``names`` (``name_1`` and so on where df has one).
 
     A text that is null or has no letter is ``und``, 0, rejected; so is every text if
     the model learnt no language. Ties go to the first centroid. Repeated rows and all
     columns stay; an empty table gives an empty result. The model, at
     most (languages x per_language + 1) x BINS floats, travels with the function.
     """
-    at = df.columns.index(text_col)
+    at, names = df.columns.index(text_col), [own_name(df, x) for x in names]
 
     @tidied
     def each(batches):

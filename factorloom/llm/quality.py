@@ -1,14 +1,16 @@
 """Quality classification of whole texts.
 
-Random indexing gives each word of a bounded vocabulary a vector: the sum of the
-sparse ternary index vectors of its neighbours in a sample, and its own. A text is
-the mean of its words' vectors, once over all its words and once over its
-different words. A two-layer network in numpy scores that pooled vector; a
-temperature, fitted on rows the network did not see, calibrates the probability.
+Random indexing gives each word a sparse ternary index vector, a function of the word
+alone, and words of a bounded vocabulary also the sum of their neighbours' index
+vectors in a sample. A text is the mean of its words' vectors, once over all its words
+and once over its different words; a word outside the vocabulary counts with its index
+vector. A two-layer network in numpy scores that pooled vector; a temperature, fitted
+on rows the network did not see, calibrates the probability.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -19,55 +21,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, one_thread, table, tidied
+from .common import crc32_of, one_thread, own_name, table, tidied
 
 #: Words: runs of word characters, or of signs.
 WORD = re.compile(r"\w+|[^\w\s]+")
+SIZE, ONES = 64, 8
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def index_vector(word: str, size: int, ones: int) -> np.ndarray:
-    """A sparse ternary vector, a function of the word alone."""
-    rng = np.random.default_rng(zlib.crc32(word.encode()))
-    out = np.zeros(size, np.float32)
-    out[rng.choice(size, ones, replace=False)] = rng.choice([-1.0, 1.0], ones)
+@functools.cache
+def index_vectors(seed: int = 2) -> np.ndarray:
+    """Sparse ternary vectors of length 1, one for each of 65,536 hashes; every process makes the same."""
+    rng = np.random.default_rng(seed)
+    at = rng.random((1 << 16, SIZE), np.float32).argpartition(ONES, axis=1)[:, :ONES]
+    out = np.zeros((1 << 16, SIZE), np.float32)
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), at.shape) / np.sqrt(np.float32(ONES)), axis=1)
     return out
 
 
+def index_of(found) -> np.ndarray:
+    """The index vectors of words."""
+    return index_vectors()[np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0xFFFF for w in found), np.int64)]
+
+
 class WordVectors:
-    """Random-indexing vectors of the most frequent words; place 0 is any other word."""
+    """Random-indexing vectors: of the ``most`` most frequent words that occur twice, with their neighbours; of any other word its index vector."""
 
-    def __init__(self, texts: list[str], most: int = 12_000, size: int = 64, ones: int = 8, reach: int = 2):
+    def __init__(self, texts: list[str | None], most: int = 20_000, reach: int = 2):
         seen = [words(t) for t in texts]
         counts = Counter(w for t in seen for w in t)
-        kept = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: most - 1]
-        self.places = {w: i + 1 for i, (w, n) in enumerate(kept) if n > 1}
-        own = np.stack([index_vector(w, size, ones) for w in ["\0", *self.places]])
-        total = np.zeros_like(own)
+        kept = sorted(((w, n) for w, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0]))[:most]
+        self.places = {w: i for i, (w, _) in enumerate(kept)}
+        total = np.zeros((len(kept), SIZE), np.float32)
         for t in seen:
-            ids = np.fromiter((self.places.get(w, 0) for w in t), np.int64, len(t))
+            near, ids = index_of(t), np.fromiter((self.places.get(w, -1) for w in t), np.int64, len(t))
             for d in range(1, reach + 1):
-                if len(ids) > d:
-                    np.add.at(total, ids[:-d], own[ids[d:]])
-                    np.add.at(total, ids[d:], own[ids[:-d]])
+                for one, other in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
+                    known = ids[one] >= 0
+                    np.add.at(total, ids[one][known], near[other][known])
         norms = np.linalg.norm(total, axis=1, keepdims=True)
-        self.vectors = (total / np.where(norms, norms, 1) + own / np.sqrt(ones)).astype(np.float32)
+        self.vectors = (total / np.where(norms, norms, 1) + index_of(self.places)).astype(np.float32)
 
     def pooled(self, text: str | None) -> np.ndarray:
-        """The mean over all words, that over different words, how far they are apart, and the logarithms of both numbers of words; zeros if there are none."""
+        """The mean over all words, that over different words, how far they are apart, the share of the most frequent word, those outside the vocabulary, and the logarithms of both numbers of words; zeros if there are none."""
         counts = Counter(words(text))
         if not counts:
-            return np.zeros(2 * self.vectors.shape[1] + 4, np.float32)
-        ids = np.fromiter((self.places.get(w, 0) for w in counts), np.int64, len(counts))
+            return np.zeros(2 * SIZE + 6, np.float32)
+        ids = np.fromiter((self.places.get(w, -1) for w in counts), np.int64, len(counts))
         n = np.fromiter(counts.values(), np.float32, len(counts))
-        rows = self.vectors[ids]
+        rows, strange = np.empty((len(counts), SIZE), np.float32), ids < 0
+        rows[~strange] = self.vectors[ids[~strange]]
+        if strange.any():
+            rows[strange] = index_of(w for w, x in zip(counts, strange.tolist(), strict=True) if x)
         every, once = (n / n.sum()) @ rows, rows.mean(0)
         apart = every - once
-        most = n.max() / n.sum()
-        return np.concatenate([every, once, [np.sqrt(apart @ apart), most, np.log1p(n.sum()), np.log1p(len(n))]]).astype(np.float32)
+        return np.concatenate([every, once, [np.sqrt(apart @ apart), n.max() / n.sum(), n[strange].sum() / n.sum(), strange.mean(), np.log1p(n.sum()), np.log1p(len(n))]]).astype(np.float32)
 
 
 class Network:
@@ -100,7 +111,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 class QualityModel:
-    def __init__(self, texts: list[str], y: np.ndarray):
+    def __init__(self, texts: list[str | None], y: np.ndarray):
         self.constant = float(y.mean()) if len(y) and len(set(y.tolist())) == 1 else (0.5 if not len(y) else None)
         if self.constant is not None:
             return
@@ -116,36 +127,41 @@ class QualityModel:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant if self.constant is not None else 0.5)
         logits = self.net.logits(np.stack([self.words.pooled(t) for t in texts]))
-        return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -30, 30)))
+        # Rounded: the last bits of a product depend on how many rows are multiplied at once.
+        return np.round(1 / (1 + np.exp(-np.clip(logits / self.temperature, -30, 30))), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = 3000, chars: int = 40_000) -> QualityModel:
-    """Fit on at most ``rows`` labelled rows for which ``learns`` holds, which the order of a hash draws, of at most ``chars`` characters each: what the driver holds is bounded by the two."""
+def fit(docs: DataFrame, labels: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = 3000) -> QualityModel:
+    """Fit on at most ``rows`` labelled rows for which ``learns`` holds, which the order of a hash draws.
+
+    Whole texts train, long and empty ones too. Of several texts of an id the smallest
+    in order is taken, so the same tables give the same model.
+    """
     drawn = labels.where(learns & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     drawn = drawn.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, chars))
-    got = sorted((r["id"], r["text"], r["y"]) for r in short.join(F.broadcast(drawn), "id").limit(2 * rows).collect())
-    got.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    got = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    got = sorted(((r["id"], r["y"], r["text"]) for r in got), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     with one_thread():
-        return QualityModel([r[1] for r in got], np.array([r[2] for r in got], np.float64))
+        return QualityModel([r[2] for r in got], np.array([r[1] for r in got], np.float64))
 
 
-def score(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """df with the probability that a whole text is of good quality.
+def score(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score", at_once: int = 256) -> DataFrame:
+    """df with the probability that a whole text is of good quality, as ``out`` (``out_1`` and so on where df has that name).
 
     Null and empty texts get the score of a text without words, equal texts equal
     scores; repeated rows, null ids and all columns stay; an empty table gives an empty
     result; texts of any length are read whole. Without a labelled row all scores are
     0.5, with one label alone they are that label. The model, at most
-    12,000 words and their vectors, travels with the function.
+    20,000 words and their vectors, travels with the function.
     """
-    at = df.columns.index(text_col)
+    at, out = df.columns.index(text_col), own_name(df, out)
 
     @tidied
     def each(batches):
         for batch in batches:
-            made = [model.scores([t.as_py()])[0] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, out])
+            made = [model.scores([t.as_py() for t in batch.column(at).slice(lo, at_once)]) for lo in range(0, batch.num_rows, at_once)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made) if made else [], pa.float64())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -1,6 +1,7 @@
 """op3, op5 and op8: held-out accuracy, and defined results for odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -24,8 +25,10 @@ def test_language_rejects_and_odd_rows(spark):
     docs = table(spark, BIG, "documents")
     model = language.fit(docs, per_label=100)
     rows = [(1, None, 1.0), (2, "", 1.0), (3, " 12 %% 7", 1.0), (4, "ппрдвалоы йцукен гшщзхъ " * 40, 1.0), (5, "The that of and with erentionst the is " * 9, 1.0), (None, "x" * 2_500_000, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumnRenamed("score", "SCORE2")
-    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumn("LANG_PRED", F.lit("mine"))
+    made = language.identify(df, model)
+    assert made.columns == ["doc_id", "text", "score", "LANG_PRED", "lang_pred_1", "score_1", "rejected"]
+    got = {r.doc_id: r for r in made.withColumnsRenamed({"score": "old", "LANG_PRED": "mine"}).withColumnsRenamed({"lang_pred_1": "lang_pred", "score_1": "score"}).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and all(got[k].rejected and got[k].score == 0 for k in (1, 2, 3))
     assert got[4].rejected and got[4].lang_pred != "und" and not got[5].rejected and got[5].lang_pred == "en"
     assert language.identify(df.limit(0), model).count() == 0 and len(got) == 6
@@ -39,6 +42,8 @@ def test_language_sample_is_bounded_and_repeatable(spark):
     np.testing.assert_array_equal(a.centres, b.centres)
     hot = spark.createDataFrame([("the same text", "en")] * 500 + [("otro texto con ñ", "es")], "text string, lang string")
     assert language.fit(hot, per_label=20).langs == ["en", "es"]
+    many = spark.createDataFrame([(f"text {'abcdefghij'[n % 10]}{n}", f"l{n % 300}") for n in range(900)], "text string, lang string")
+    assert len(language.fit(many, per_label=5).langs) == 300 == len(language.fit(many, per_label=5, rows=100).langs)
     assert language.fit(docs.limit(0)).predict("any") == ("und", 0.0, True)
 
 
@@ -50,6 +55,24 @@ def test_counts_do_not_depend_on_blocks(monkeypatch):
     np.testing.assert_array_equal(language.ngram_counts(text), whole)
 
 
+def test_language_is_the_plain_cosine(spark):
+    """Every row of the query against weights, cosines and the nearest centroid written out."""
+    docs = table(spark, BIG, "documents")
+    model = language.fit(docs.where(~language.held_out()), draw=F.xxhash64("doc_id"))
+    centres = model.centres.astype(np.float64)
+    assert np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-4) and len(centres) == 16
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.op5_language_id(spark, BIG).collect():
+        text = (texts[r.doc_id] or "").lower()
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = language.ngram_counts(text)
+        w = np.where(counts > 0, 1 + np.log(np.maximum(1, counts)), 0) * model.idf
+        cosines = centres @ (w / np.sqrt((w * w).sum()))
+        assert abs(r.score - cosines.max()) < 1e-4 and cosines[model.names == model.langs.index(r.lang_pred)].max() > cosines.max() - 1e-4
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(y))
@@ -65,6 +88,40 @@ def test_quality_held_out(spark):
     assert ((s - y) ** 2).mean() < ((y - y.mean()) ** 2).mean()
 
 
+def test_quality_is_the_plain_forward_pass(spark):
+    """Every row of the query against pooling and network written out word by word."""
+    docs, labels = table(spark, BIG, "documents"), table(spark, BIG, "labels")
+    model = quality.fit(docs, labels, ~quality.held_out())
+    net, texts, index = model.net, {r.doc_id: r.text for r in docs.collect()}, quality.index_vectors()
+    assert (np.count_nonzero(index, axis=1) == quality.ONES).all() and np.allclose((index**2).sum(1), 1)
+    for r in quality.op3_quality(spark, BIG).where("doc_id % 5 = 0").collect():
+        found = quality.words(texts[r.doc_id])
+        vector = lambda w: model.words.vectors[model.words.places[w]] if w in model.words.places else index[zlib.crc32(w.encode()) & 0xFFFF]
+        x = np.zeros(2 * quality.SIZE + 6)
+        if found:
+            once = list(dict.fromkeys(found))
+            every, single = np.mean([vector(w) for w in found], 0, np.float64), np.mean([vector(w) for w in once], 0, np.float64)
+            strange = [w not in model.words.places for w in found]
+            x = np.concatenate([every, single, [np.linalg.norm(every - single), max(map(found.count, once)) / len(found), np.mean(strange), np.mean([w not in model.words.places for w in once]), np.log(1 + len(found)), np.log(1 + len(once))]])
+        z = np.tanh((x - net.mean) / net.scale @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3][0]
+        assert abs(r["score"] - 1 / (1 + np.exp(-z / model.temperature))) < 1e-3
+
+
+def test_quality_learns_from_long_and_empty_texts_and_repeats(spark):
+    rows = [(1, "word " * 20_000, 1), (2, "", 0), (3, None, 0), (4, "a b", 1), (4, "A z", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    plain = quality.QualityModel.__init__
+    quality.QualityModel.__init__ = lambda self, texts, y: (seen.append((texts, y.tolist())), plain(self, texts, y))[1]
+    try:
+        for n in (1, 5):
+            quality.fit(docs.repartition(n), labels, F.lit(True))
+    finally:
+        quality.QualityModel.__init__ = plain
+    assert seen[0] == seen[1] and sorted(zip(*seen[0], strict=True)) == [("", 0.0), ("", 0.0), ("A z", 1.0), ("word " * 20_000, 1.0)]
+
+
 def test_quality_odd_rows():
     model = quality.QualityModel(["good plain words here"] * 30 + ["$$$ ### %%%"] * 30, np.array([1.0] * 30 + [0.0] * 30))
     s = model.scores(["good plain words", "### $$$", None, "", "x " * 300_000])
@@ -74,10 +131,10 @@ def test_quality_odd_rows():
 
 
 def test_quality_frame(spark):
-    docs = spark.createDataFrame([(n, "good words here and there" if n % 2 else "### $$$ ###", "x") for n in range(60)] + [(None, None, None)], "doc_id long, text string, predicted string")
+    docs = spark.createDataFrame([(n, "good words here and there" if n % 2 else "### $$$ ###", "x") for n in range(60)] + [(None, None, None)], "doc_id long, text string, SCORE string")
     labels = spark.createDataFrame([(n, n % 2, 0) for n in range(60)] + [(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels, ~quality.held_out(), rows=40)
-    assert quality.score(docs, model).count() == 61 and quality.score(docs.limit(0), model).count() == 0
+    assert quality.score(docs, model).columns == ["doc_id", "text", "SCORE", "score_1"] and quality.score(docs, model).count() == 61 and quality.score(docs.limit(0), model).count() == 0
 
 
 def test_gradients_of_the_recurrent_network():
