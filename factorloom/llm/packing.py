@@ -84,8 +84,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(times, items) for group in open_.values() for times, items in group]
 
 
-def fillings(counts: dict[int, int], room: int, most: int, steps: int = 600) -> list[tuple[tuple[int, ...], int]]:
-    """Undominated fillings of room from what counts holds, least waste first: (lengths, waste).
+def fillings(counts: dict[int, int], room: int, steps: int) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
+    """Undominated fillings of room from what counts holds, least waste first, as (lengths, waste); the steps taken; whether these are all.
 
     A filling is dropped if another length left over would still fit (it is not
     maximal) or if one of its lengths can be exchanged for a longer one left over
@@ -102,14 +102,14 @@ def fillings(counts: dict[int, int], room: int, most: int, steps: int = 600) ->
     def undominated(chosen: tuple[int, ...], waste: int) -> bool:
         if any(spare(s, chosen) for s in sizes[bisect_left(negative, -waste) :]):
             return False
-        return not any(spare(c + d, chosen) for c in set(chosen) for d in range(1, waste + 1))
+        return not any(spare(s, chosen) for c in set(chosen) for s in sizes[bisect_left(negative, -(c + waste)) : bisect_left(negative, -c)])
 
     def search(k: int, chosen: tuple[int, ...], left: int) -> None:
         budget[0] -= 1
         if spare(left, chosen):
             found[(*chosen, left)] = 0
         k, grown = max(k, bisect_left(negative, -left)), False
-        while k < len(sizes) and budget[0] > 0 and len(found) < 4 * most:
+        while k < len(sizes) and budget[0] > 0:
             if spare(sizes[k], chosen):
                 grown = True
                 search(k, (*chosen, sizes[k]), left - sizes[k])
@@ -126,23 +126,28 @@ def fillings(counts: dict[int, int], room: int, most: int, steps: int = 600) ->
             chosen += [size] * each
             left -= each * size
         found[tuple(chosen)] = left
-    return sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0]))[:most]
+    return sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0])), steps - budget[0], budget[0] > 0
 
 
-def pack_counts(counts: dict[int, int], capacity: int, *, nodes: int = 200, width: int = 4) -> list[Pattern]:
+def pack_counts(counts: dict[int, int], capacity: int, *, work: int = 1_000_000, steps: int = 2000) -> list[Pattern]:
     """Patterns that hold each length as often as counts says, in as few bins as found.
 
     Best-fit decreasing is the first incumbent; if it meets the lower bound it is
     optimal. Else bin completion: take the largest length left, branch over the
-    undominated fillings around it (each used as often as the counts allow), and
-    leave a branch as soon as its waste exceeds what a better packing may waste. In
-    every node best-fit completes the rest, which may become the incumbent. ``nodes``
-    bounds the search on the driver: past it the best incumbent is the answer.
+    undominated fillings around it, each used as often as the counts allow, half as
+    often, and so on down to once, and leave a branch as soon as its waste exceeds what
+    a better packing may waste. In every node best-fit completes the rest, which may
+    become the incumbent. The tree is searched by limited discrepancy: first the branch
+    that looks best in every node, then all that turn aside from it by one place in
+    all, by two, and so on; so the search goes back to its first decisions early, and
+    ends when a whole tree has been seen. ``work`` bounds all this on the driver, in
+    lengths looked at, and ``steps`` the fillings tried in a node: beyond them the best
+    incumbent is the answer.
     """
     left = {s: n for s, n in counts.items() if n}
     bins = lambda patterns: sum(t for t, _ in patterns)
     total, least, best = sum(s * n for s, n in left.items()), lower_bound(left, capacity), best_fit(left, capacity)
-    state, done = {"best": best, "n": bins(best), "nodes": nodes}, []
+    most = bins(best)
 
     def take(items: dict[int, int], times: int) -> None:
         for s, k in items.items():
@@ -150,35 +155,66 @@ def pack_counts(counts: dict[int, int], capacity: int, *, nodes: int = 200, widt
             if not left[s]:
                 del left[s]
 
-    def branch(used: int, waste: int) -> None:
-        if state["n"] <= least or state["nodes"] <= 0:
-            return
-        state["nodes"] -= 1
-        rest = best_fit(left, capacity)
-        if used + bins(rest) < state["n"]:
-            state["best"], state["n"] = [*done, *rest], used + bins(rest)
-        rest = None  # not to be held while the branches are searched
-        if not left or used + lower_bound(left, capacity) >= state["n"]:
-            return
+    def children(waste: int):
+        """(lengths, times, waste) around the largest length left, the likeliest first; also the work, and whether these are all."""
         largest = max(left)
         take({largest: 1}, 1)
-        around = fillings(left, capacity - largest, width)
+        around, tried, whole = fillings(left, capacity - largest, steps)
         take({largest: 1}, -1)
+        out = []
         for chosen, spare in around:
             items: dict[int, int] = {largest: 1}
             for s in chosen:
                 items[s] = items.get(s, 0) + 1
             times = min(left[s] // k for s, k in items.items())
-            if waste + times * spare > (state["n"] - 1) * capacity - total:
+            for halved in range(times.bit_length()):
+                if waste + (times >> halved) * spare <= (most - 1) * capacity - total:
+                    out.append((halved, items, times >> halved, spare))
+        out.sort(key=lambda x: x[0])
+        return [x[1:] for x in out], tried, whole
+
+    turned, whole = 0, False
+    while most > least and work > 0 and not whole:
+        # One pass: all leaves that turn aside by ``turned`` places in all. A frame: what took us there, its children, how far aside.
+        whole, done, stack = True, [], []
+        used = waste = 0
+        entering: tuple | None = ({}, 0, 0, turned)
+        while (entering or stack) and most > least and work > 0:
+            if entering:
+                items, times, spare, may = entering
+                take(items, times)
+                used, waste, entering = used + times, waste + times * spare, None
+                if times:
+                    done.append((times, tuple(items.items())))
+                rest = best_fit(left, capacity)
+                work -= 20 + len(left)
+                if used + bins(rest) < most:
+                    best, most = [*done, *rest], used + bins(rest)
+                rest = None  # not to be held while the branches are searched
+                some: list = []
+                if left and used + lower_bound(left, capacity) < most:
+                    some, tried, every = children(waste)
+                    work -= tried
+                    if not every or len(some) > may + 1:
+                        whole = False
+                stack.append((items, times, spare, iter(enumerate(some[: may + 1])), may))
                 continue
-            take(items, times)
-            done.append((times, tuple(items.items())))
-            branch(used + times, waste + times * spare)
-            done.pop()
+            items, times, spare, some, may = stack[-1]
+            step = next(some, None)
+            if step is not None:
+                place, (more, often, loss) = step
+                entering = (more, often, loss, may - place)
+                continue
+            stack.pop()
+            if times:
+                done.pop()
             take(items, -times)
-
-    branch(0, 0)
-    return state["best"]
+            used, waste = used - times, waste - times * spare
+        while stack:
+            items, times, *_ = stack.pop()
+            take(items, -times)
+        turned = 2 * turned + 1
+    return best
 
 
 def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
@@ -200,30 +236,26 @@ def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
     return {"key": table_[:, 0] * (1 << 48) + table_[:, 1], "first": table_[:, 1], "base": table_[:, 2], "each": table_[:, 3], "offset": table_[:, 4]}
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, tokenizer: str, path: str | None) -> DataFrame:
-    """A row per piece; rank counts the pieces of its length within its task (chunk)."""
+    """A row per piece."""
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     @tidied
     def cut(batches):
-        from pyspark import TaskContext
-
-        chunk, words, seen = TaskContext.get().partitionId(), encoder(tokenizer, path, False), {}
+        words = encoder(tokenizer, path, False)
         end = np.array([end_id], "<u4").tobytes()
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"]
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_each(batch.column(1)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    seen[n] = seen.get(n, -1) + 1
-                    rows.append((doc, piece, at // 4, n, zlib.crc32(part), chunk, seen[n]))
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return slim.mapInArrow(cut, PIECES)
@@ -237,9 +269,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capac
     table gives an empty result. Columns other than the two named are not read.
     """
     pieces = stored(cut_pieces(df, id_col, text_col, capacity, end_id, tokenizer, path), "pieces")
-    counts = stored(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")), "piece-counts")
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # In ranges of lengths a piece's rank is its place among its length's in its part, and how many lie in the parts before.
+    sorted_ = pieces.repartitionByRange("length", F.xxhash64("doc_id", "piece")).sortWithinPartitions("length")
+    sorted_ = stored(sorted_.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "ranked-pieces")
+    counts = stored(sorted_.groupBy("part", "length").agg(F.count("*").alias("n"), F.min("at").alias("begin")), "piece-counts")  # at most capacity + parts rows
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("part", "length", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begin")).alias("first"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}  # at most capacity rows
     where = places(pack_counts(totals, capacity), capacity)
 
@@ -252,7 +287,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capac
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(where["base"][at] + nth // each), pa.array(where["offset"][at] + nth % each * size)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(firsts, ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).cast("long").alias("rank"))
+    ranked = sorted_.join(firsts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("at") + F.col("first")).cast("long").alias("rank"))
     out = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", own_name(out.drop("doc_id"), id_col))
 

@@ -43,44 +43,62 @@ def optimum(items, capacity):
 
 
 def test_packing_is_optimal_on_small_cases():
+    """With the parameters of production."""
     random.seed(1)
-    beaten = 0
     for _ in range(150):
         items = [random.randint(1, 20) for _ in range(random.randint(1, 9))]
         counts = dict(Counter(items))
-        got = pack_counts(counts, 20, nodes=3000, width=50)
+        got = pack_counts(counts, 20)
         check(got, counts, 20)
         want = optimum(items, 20)
         assert lower_bound(counts, 20) <= want == bins_of(got) <= bins_of(best_fit(counts, 20))
-    # Best-fit decreasing needs four bins here, bin completion three.
-    counts = {6: 1, 5: 2, 4: 0, 3: 2, 2: 4}
-    hard = {44: 2, 24: 2, 22: 2, 12: 1, 8: 2, 6: 1, 3: 2}
-    for c, capacity in ((counts, 10), (hard, 61)):
-        got = pack_counts(c, capacity, nodes=3000, width=30)
-        check(got, c, capacity)
-        beaten += bins_of(got) < bins_of(best_fit(c, capacity))
-        assert bins_of(got) >= lower_bound(c, capacity)
 
 
-def test_completion_beats_best_fit():
+@pytest.mark.parametrize(("counts", "capacity"), [({4: 2, 3: 4}, 10), ({4: 2000, 3: 4000}, 10), ({44: 2, 24: 2, 22: 2, 12: 1, 8: 2, 6: 1, 3: 2}, 61), ({1366: 700, 1365: 1400, 1364: 1, 2731: 0}, 4096), ({2000: 90, 1500: 90, 596: 90}, 4096)])
+def test_completion_reaches_the_bound_where_best_fit_does_not(counts, capacity):
+    got = pack_counts(counts, capacity)
+    check(got, counts, capacity)
+    assert bins_of(got) == lower_bound(counts, capacity)
+    assert 44 in counts or 1366 in counts or bins_of(got) < bins_of(best_fit(counts, capacity))
+
+
+def test_completion_uses_fillings_less_often_than_it_could():
+    """Tables of few lengths, many of each: optimal where the exhaustive search can tell, and better than best-fit in some."""
     random.seed(8)
     better = 0
-    for _ in range(200):
-        counts = dict(Counter(random.randint(15, 60) for _ in range(24)))
-        got = pack_counts(counts, 100, nodes=300, width=8)
-        check(got, counts, 100)
-        assert bins_of(got) <= bins_of(best_fit(counts, 100))
-        better += bins_of(got) < bins_of(best_fit(counts, 100))
+    for _ in range(120):
+        counts = dict(Counter(random.choice([7, 8, 9, 11, 12, 13, 17]) for _ in range(10)))
+        got = pack_counts(counts, 30)
+        check(got, counts, 30)
+        assert bins_of(got) == optimum([s for s, n in counts.items() for _ in range(n)], 30)
+        better += bins_of(got) < bins_of(best_fit(counts, 30))
     assert better > 0
+    wide = dict(Counter(random.randint(15, 60) for _ in range(400)))
+    got = pack_counts(wide, 100)
+    check(got, wide, 100)
+    assert bins_of(got) <= bins_of(best_fit(wide, 100))
 
 
 def test_fillings_are_maximal_and_undominated():
     counts = {7: 1, 5: 2, 3: 1, 2: 2}
-    got = fillings(counts, 10, 100)
-    assert (tuple(sorted(got[0][0])), got[0][1]) in {((5, 5), 0), ((3, 7), 0), ((2, 3, 5), 0)}
+    got, _, whole = fillings(counts, 10, 1000)
+    assert whole and (tuple(sorted(got[0][0])), got[0][1]) in {((5, 5), 0), ((3, 7), 0), ((2, 3, 5), 0)}
     for chosen, waste in got:
         left = Counter(counts) - Counter(chosen)
         assert sum(chosen) + waste == 10 and not any(s <= waste for s in left)
+        assert not any(c < s <= c + waste for c in chosen for s in left)
+    assert not fillings(counts, 10, 2)[2]
+
+
+def test_a_query_whose_best_fit_misses_the_bound(spark):
+    """Texts of 1,500, 1,300 and 1,296 tokens: best-fit puts two of the long ones together."""
+    sizes = [1500] * 4 + [1300] * 4 + [1296] * 4
+    counts = Counter(sizes)
+    docs = spark.createDataFrame([(n, "a " * (size - 1)) for n, size in enumerate(sizes)], "doc_id long, text string")
+    rows = pack(docs).collect()
+    lengths = Counter(r.length for r in rows)
+    assert len(set(lengths)) == 3 and sum(lengths.values()) == 12 and sorted(lengths.values()) == sorted(counts.values())
+    assert len({r.sequence_id for r in rows}) == lower_bound(dict(lengths), 4096)
 
 
 def test_many_equal_lengths_are_quick():
