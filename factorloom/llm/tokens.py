@@ -3,8 +3,8 @@
 The file format is Arrow's random-access file (the stream messages, then a footer
 of their offsets): batches of two fixed-size-list columns, ``input_ids`` (uint16
 where the vocabulary allows it, else uint32) and ``mask`` (bits), one row per
-sequence of equal length. A reader maps a file and takes row n as slice
-[n * length, (n + 1) * length) of the value buffer without a copy. Beside each lies a file of the documents' places.
+sequence of equal length. ``SequenceFile`` maps a file and gives sequence n as a slice
+of the value buffers, without a copy. Beside each lies a file of the documents' places.
 """
 
 from __future__ import annotations
@@ -321,11 +321,54 @@ def write_token_files(df: DataFrame, uri: str, id_col: str = "doc_id", text_col:
     return made.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
 
+class SequenceFile:
+    """Random access to the sequences of one file; a file of this machine is mapped, and what is returned lies in the map.
+
+    All batches but the last have as many rows, so sequence n is row n % rows of batch n // rows.
+    """
+
+    def __init__(self, uri: str):
+        store, at = store_of(uri)
+        self.source = pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)
+        self.file = pa.ipc.open_file(self.source)
+        self.batches, self.held = self.file.num_record_batches, (-1, None)
+        self.length = self.file.schema.field("input_ids").type.list_size
+        self.rows = self.batch(0).num_rows if self.batches else 0
+
+    def __enter__(self) -> SequenceFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.held = (-1, None)
+        self.source.close()
+
+    def __len__(self) -> int:
+        return (self.batches - 1) * self.rows + self.batch(self.batches - 1).num_rows if self.batches else 0
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if self.held[0] != k:
+            self.held = (k, self.file.get_batch(k))
+        return self.held[1]
+
+    def values(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """All ids of a batch in turn, and their mask."""
+        ids, mask = (c.flatten() for c in self.batch(k).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
+
+    def sequence(self, n: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence n, both views of the file's own bytes."""
+        if not 0 <= n < len(self):
+            raise IndexError(f"sequence {n} of {len(self)}")
+        ids, mask = self.values(n // self.rows)
+        at = n % self.rows * self.length
+        return ids[at : at + self.length], mask.slice(at, self.length)
+
+
 def read_ids(ids_uri: str, docs_uri: str):
     """(doc_id, start in this file, ids as bytes) of each document, batch after batch of both files."""
-    store, at = store_of(ids_uri)
-    with store.open_input_file(at) as a, store.open_input_file(store_of(docs_uri)[1]) as b:
-        ids, docs = pa.ipc.open_file(a), pa.ipc.open_file(b)
+    store, at = store_of(docs_uri)
+    with SequenceFile(ids_uri) as ids, store.open_input_file(at) as b:
+        docs = pa.ipc.open_file(b)
         held, begins, nth = np.zeros(0, "<u2"), 0, 0
         for k in range(docs.num_record_batches):
             batch = docs.get_batch(k)
@@ -333,10 +376,9 @@ def read_ids(ids_uri: str, docs_uri: str):
                 parts, need = [], n
                 while need:
                     if start + n - need >= begins + held.size:
-                        rows = ids.get_batch(nth)
-                        begins, nth = begins + held.size, nth + 1
-                        held = rows.column(0).flatten().to_numpy()
-                        held = held[: rows.column(1).flatten().true_count]
+                        begins += held.size
+                        held, mask = ids.values(nth)
+                        held, nth = held[: mask.true_count], nth + 1
                     lo = start + n - need - begins
                     parts.append(held[lo : lo + need])
                     need -= parts[-1].size

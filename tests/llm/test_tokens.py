@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from factorloom.llm.common import scratch
-from factorloom.llm.tokens import CachedEncoder, SequenceWriter, encoder, read_documents, store_of, write_token_files
+from factorloom.llm.tokens import CachedEncoder, SequenceFile, SequenceWriter, encoder, read_documents, store_of, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 ODD = ["", "  ", " a", "a ", "a  b", "\n\n a\t b", "it's we'll  'S", "7 7 777 a7", "<|endoftext|> x <|startoftext|>", "é é ́x", "İSTANBUL ΣΑΣ", "a\0b c", "x\x1cy \x85 z　w\xa0q", "日本語 テキスト 7", "😀 😀a  😀", "A" * 300 + " b", " \n", "\n", " 7", "a\r\nb  \r\n c", "\x1c", "\x85"]
@@ -32,19 +32,30 @@ def test_ids_are_the_tokenizers(name, spaced, most):
         assert made.encode(texts[at : at + 97]) == [want(t) for t in texts[at : at + 97]]
 
 
-def test_sequences_are_zero_copy(tmp_path):
+@pytest.mark.parametrize(("length", "wide"), [(8, False), (5, True)])
+def test_sequences_are_zero_copy(tmp_path, length, wide):
     with pa.OSFile(str(tmp_path / "x"), "wb") as f:
-        w = SequenceWriter(f, 8, wide=False, rows=3)
+        w = SequenceWriter(f, length, wide=wide, rows=3)
         w.add(np.arange(50, dtype="<u4").tobytes())
         w.close()
-    with pa.memory_map(str(tmp_path / "x")) as f:
-        got = pa.ipc.open_file(f)
-        rows = [got.get_batch(k) for k in range(got.num_record_batches)]
-        assert pa.total_allocated_bytes() == 0 or rows[0].column(0).flatten().buffers()[1].is_mutable is False
-        assert got.schema.field("input_ids").type == pa.list_(pa.uint16(), 8)
-        ids = np.concatenate([r.column(0).flatten().to_numpy() for r in rows])
-        mask = np.concatenate([r.column(1).flatten().to_numpy(zero_copy_only=False) for r in rows])
-        assert ids[mask].tolist() == list(range(50)) and len(ids) % 8 == 0 and w.written == len(ids) // 8
+    with SequenceFile(f"file://{tmp_path}/x") as made:
+        assert made.file.schema.field("input_ids").type == pa.list_(pa.uint32() if wide else pa.uint16(), length)
+        allocated, order = pa.total_allocated_bytes(), list(range(w.written))
+        random.shuffle(order)
+        made.source.seek(0)
+        whole = made.source.read_buffer()
+        begin, size = whole.address, whole.size
+        for n in order:
+            ids, mask = made.sequence(n)
+            assert begin <= ids.__array_interface__["data"][0] and ids.__array_interface__["data"][0] + ids.nbytes <= begin + size
+            bits = mask.buffers()[1]
+            assert begin <= bits.address <= begin + size and not bits.is_mutable and not ids.flags.writeable
+            held = mask.to_pylist()
+            assert ids[held].tolist() == list(range(n * length, min(50, (n + 1) * length))) and ids[~np.array(held)].sum() == 0
+        assert pa.total_allocated_bytes() == allocated and len(made) == w.written == -(-50 // length)
+        for n in (-1, len(made)):
+            with pytest.raises(IndexError):
+                made.sequence(n)
 
 
 def test_round_trip(spark):
