@@ -12,8 +12,10 @@ way: two fingerprints are within two bits of each other if and only if some
 64-bit word is within one bit of both. Each member lists its 65 such words, and
 every word links its members to their smallest: edges in proportion to members.
 
-``drop_near_duplicates`` takes no fingerprints: within two bits of each other are few
-of the texts of similarity 0.8. It finds all pairs that are alike by their sets of
+``drop_near_duplicates`` takes no fingerprints. Texts of similarity 0.8 differ in about
+ten of 64 bits, and reach of fifteen needs segments of eight bits, on whose variants
+nearly all pairs meet; longer fingerprints with segments that tell texts apart miss
+such pairs (README). It finds all pairs that are alike by their sets of
 shingles: those have one of each set's first shingles in common, in any one order.
 """
 
@@ -86,8 +88,8 @@ def links(prints: DataFrame, crowd: int = 16) -> DataFrame:
     variants = F.expr(
         "explode(transform(sequence(0, 63), v -> shiftleft(cast(v as bigint), 32) | (shiftrightunsigned(fp, 32 * (v div 32)) & 4294967295L & ~shiftleft(1L, v % 32))))"
     )
-    # One shuffle of the variants serves both their counts and the join with these.
-    keyed = prints.select("fp", variants.alias("variant")).repartition("variant")
+    # Counted with partial sums first, then joined by the planner's own exchange, which splits a crowded variant.
+    keyed = prints.select("fp", variants.alias("variant"))
     sizes = keyed.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(keyed.join(sizes, "variant"), "simhash-members")
     pairs = shared.where("n = 2").groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b").where(_near(F.col("a"), F.col("b"), 2))
@@ -197,24 +199,29 @@ def with_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(each, "fp long, members array<long>")
 
 
-def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in three or more of about ``rows`` drawn texts, in order, and in how many."""
+def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> dict[int, int]:
+    """Shingles that are in three or more of about ``rows`` drawn texts, and in about how many of all."""
     every = max(1, -(-texts.count() // rows))
     drawn = with_sets(texts.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0), k)
-    seen = drawn.select(F.explode("members").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(1 << 20).toArrow()
-    common, times = (np.asarray(seen.column(c).to_numpy(), "<i8") for c in ("h", "n"))
-    order = np.argsort(common.view("<u8"))
-    return common.view("<u8")[order], times[order]
+    return largest(drawn.select(F.explode("members").alias("h")).groupBy("h").agg((F.count("*") * every).alias("m")).where(F.col("m") > 2 * every))
 
 
-def with_prefixes(texts: DataFrame, k: int, least: float) -> DataFrame:
+def largest(counts: DataFrame, most: int = 1 << 20) -> dict[int, int]:
+    """The ``most`` largest of (h, m)."""
+    seen = counts.orderBy(F.desc("m"), "h").limit(most).toArrow()
+    return dict(zip(seen.column("h").to_pylist(), seen.column("m").to_pylist(), strict=True))
+
+
+def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int]) -> DataFrame:
     """(fp, h, at, n): the shingles, of n, that come first in an order that is the same for all texts.
 
     Sets of similarity ``least`` or more have one of these in common, whatever the
-    order. Here the shingles that a sample shows to be common come last, which
-    spares pairs and decides nothing.
+    order. Here the shingles ``known`` to be in many texts come last, which spares
+    pairs and decides nothing.
     """
-    common, times = common_shingles(texts, k)
+    common = np.array(list(known), "<i8").view("<u8")
+    order = np.argsort(common)
+    common, times = common[order], np.array(list(known.values()), "<i8")[order]
 
     def first(text):
         held = shingle_set(text, k)
@@ -243,6 +250,29 @@ def with_prefixes(texts: DataFrame, k: int, least: float) -> DataFrame:
     return texts.mapInArrow(each, "fp long, h long, at int, n int")
 
 
+def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32, rounds: int = 3) -> DataFrame:
+    """(h, fp, at, n), stored: the texts' first shingles that two texts or more have.
+
+    A shingle with more than ``crowd`` members is common after all: it is put behind the
+    rarer ones of all texts, and their first shingles are taken anew. What stays
+    crowded after that are the shingles of large groups of copies and of texts that
+    have no rarer ones. On the driver are at most 1,048,576 shingles.
+    """
+    known = common_shingles(texts, k)
+    for turn in range(rounds):
+        keyed = stored(with_prefixes(texts, k, least, known), "similar-prefixes")
+        sizes = stored(keyed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "similar-sizes")
+        crowded = largest(sizes.where(F.col("m") > crowd))
+        if turn == rounds - 1 or not crowded.keys() - known.keys():
+            break
+        known |= {h: max(m, known.get(h, 0)) for h, m in crowded.items()}
+        known = dict(sorted(known.items(), key=lambda x: (-x[1], x[0]))[: 1 << 20])
+        discard(keyed, sizes)
+    shared = stored(keyed.join(sizes, "h").select("h", "fp", "at", "n"), "similar-members")
+    discard(keyed, sizes)
+    return shared
+
+
 def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
     """Edges (a, b) over texts (fp, text), one for each fp, whose components are those of all pairs with Jaccard similarity ``least`` or more.
 
@@ -250,9 +280,7 @@ def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame
     with one of them alone, in ``stars`` turns with another one each; then all pairs
     that these edges do not connect yet.
     """
-    keyed = with_prefixes(texts, k, least).repartition("h")
-    sizes = keyed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(keyed.join(sizes, "h").select("h", "fp", "at", "n"), "similar-members")
+    shared = members_of(texts, k, least)
     sets = stored(with_sets(texts.join(shared.select("fp").distinct(), "fp", "left_semi"), k), "similar-sets")
     left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
 
