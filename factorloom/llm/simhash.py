@@ -186,23 +186,39 @@ def with_digests(df: DataFrame, text_col: str, out: str, k: int) -> DataFrame:
     return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)]))
 
 
-def with_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(fp, members) of texts (fp, text): each text's set of shingles."""
+def with_sets(texts: DataFrame, k: int, buckets: np.ndarray | None = None) -> DataFrame:
+    """(fp, members) of texts (fp, text): each text's set of shingles, where its fp falls into one of the buckets."""
 
     @tidied
     def each(batches):
         for batch in batches:
-            for fp, text in zip(batch.column(0), batch.column(1), strict=True):
-                held = pa.array(shingle_set(text.as_py(), k).view("<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["fp", "members"])
+            fps = batch.column(0).to_numpy()
+            for at in np.flatnonzero(buckets[bucket_of(fps)]) if buckets is not None else range(len(fps)):
+                held = pa.array(shingle_set(batch.column(1)[int(at)].as_py(), k).view("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([fps[at]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["fp", "members"])
 
     return texts.mapInArrow(each, "fp long, members array<long>")
 
 
+BUCKETS = 1 << 22
+
+
+def bucket_of(fps: np.ndarray) -> np.ndarray:
+    return (fps.view("<u8") % np.uint64(BUCKETS)).astype("<i8")
+
+
+def buckets_of(fps: DataFrame) -> np.ndarray:
+    """Which buckets hold an fp: bits of a fixed number, however many there are. What shares a bucket by chance is sorted out by a join."""
+    found = fps.select(F.pmod(F.col("fp"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().toArrow()
+    out = np.zeros(BUCKETS, bool)
+    out[found.column("b").to_numpy()] = True
+    return out
+
+
 def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> dict[int, int]:
-    """Shingles that are in three or more of about ``rows`` drawn texts, and in about how many of all."""
+    """Shingles that are in three or more of about ``rows`` drawn texts (copies left aside), and in about how many of all."""
     every = max(1, -(-texts.count() // rows))
-    drawn = with_sets(texts.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0), k)
+    drawn = with_sets(texts.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).dropDuplicates(["fp"]).select("fp", "text"), k)
     return largest(drawn.select(F.explode("members").alias("h")).groupBy("h").agg((F.count("*") * every).alias("m")).where(F.col("m") > 2 * every))
 
 
@@ -212,25 +228,42 @@ def largest(counts: DataFrame, most: int = 1 << 20) -> dict[int, int]:
     return dict(zip(seen.column("h").to_pylist(), seen.column("m").to_pylist(), strict=True))
 
 
-def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int]) -> DataFrame:
-    """(fp, h, at, n): the shingles, of n, that come first in an order that is the same for all texts.
+class Order:
+    """An order of all shingles that puts those known to be in many texts last, the most frequent at the end."""
+
+    def __init__(self, known: dict[int, int]):
+        common = np.array(list(known), "<i8").view("<u8")
+        order = np.argsort(common)
+        self.common, self.times = common[order], np.array(list(known.values()), "<i8")[order]
+
+    def first(self, held: np.ndarray, least: float) -> np.ndarray:
+        """Of a set the shingles of which one at least is in any set of similarity ``least`` or more, among that one's own."""
+        n, rank = len(held), np.zeros(len(held), "<i8")
+        if len(self.common):
+            place = np.minimum(np.searchsorted(self.common, held), len(self.common) - 1)
+            rank = np.where(self.common[place] == held, self.times[place], 0)
+        return held[np.lexsort((held, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else held
+
+
+def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int], crowded: dict[int, int] | None = None) -> DataFrame:
+    """(fp, h, n): the shingles, of n, that come first in an order that is the same for all texts.
 
     Sets of similarity ``least`` or more have one of these in common, whatever the
     order. Here the shingles ``known`` to be in many texts come last, which spares
-    pairs and decides nothing.
+    pairs and decides nothing. With ``crowded`` ones, only what the order that puts
+    these behind too adds: the rest stays as it was, but for the crowded themselves.
     """
-    common = np.array(list(known), "<i8").view("<u8")
-    order = np.argsort(common)
-    common, times = common[order], np.array(list(known.values()), "<i8")[order]
+    before = Order(known)
+    after = Order({**known, **{h: max(m, known.get(h, 0)) for h, m in crowded.items()}}) if crowded else None
+    hidden = np.sort(np.array(list(crowded), "<i8").view("<u8")) if crowded else None
 
     def first(text):
         held = shingle_set(text, k)
-        n = len(held)
-        rank = np.zeros(n, "<i8")
-        if len(common):
-            place = np.minimum(np.searchsorted(common, held), len(common) - 1)
-            rank = np.where(common[place] == held, times[place], 0)
-        return held[np.lexsort((held, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else held, n
+        out = before.first(held, least)
+        if after is not None:
+            moved = np.isin(out, hidden)
+            out = np.setdiff1d(after.first(held, least), out[~moved], assume_unique=True) if moved.any() else out[:0]
+        return out, len(held)
 
     @tidied
     def each(batches):
@@ -239,49 +272,46 @@ def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int])
             counts = [len(h) for h, _ in made]
             if not sum(counts):
                 continue
-            columns = [
-                np.repeat(batch.column(0).to_numpy(), counts),
-                np.concatenate([h for h, _ in made]).view("<i8"),
-                np.concatenate([np.arange(c, dtype="<i4") for c in counts]),
-                np.repeat(np.array([n for _, n in made], "<i4"), counts),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "at", "n"])
+            columns = [np.repeat(batch.column(0).to_numpy(), counts), np.concatenate([h for h, _ in made]).view("<i8"), np.repeat(np.array([n for _, n in made], "<i4"), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "n"])
 
-    return texts.mapInArrow(each, "fp long, h long, at int, n int")
+    return texts.select("fp", "text").mapInArrow(each, "fp long, h long, n int")
 
 
-def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32, rounds: int = 3) -> DataFrame:
-    """(h, fp, at, n), stored: the texts' first shingles that two texts or more have.
+def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32) -> DataFrame:
+    """(h, fp, n), stored: the texts' first shingles that two different texts or more have.
 
     A shingle with more than ``crowd`` members is common after all: it is put behind the
-    rarer ones of all texts, and their first shingles are taken anew. What stays
-    crowded after that are the shingles of large groups of copies and of texts that
-    have no rarer ones. On the driver are at most 1,048,576 shingles.
+    rarer ones of all texts, which changes the first shingles of those texts alone that
+    had it there. What stays crowded are the shingles of large groups of near copies
+    and of texts that have no rarer ones. On the driver are at most 1,048,576 shingles.
     """
     known = common_shingles(texts, k)
-    for turn in range(rounds):
-        keyed = stored(with_prefixes(texts, k, least, known), "similar-prefixes")
-        sizes = stored(keyed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "similar-sizes")
-        crowded = largest(sizes.where(F.col("m") > crowd))
-        if turn == rounds - 1 or not crowded.keys() - known.keys():
-            break
-        known |= {h: max(m, known.get(h, 0)) for h, m in crowded.items()}
-        known = dict(sorted(known.items(), key=lambda x: (-x[1], x[0]))[: 1 << 20])
-        discard(keyed, sizes)
-    shared = stored(keyed.join(sizes, "h").select("h", "fp", "at", "n"), "similar-members")
-    discard(keyed, sizes)
-    return shared
+    keyed = stored(with_prefixes(texts, k, least, known), "similar-prefixes")
+    several = F.min("fp") != F.max("fp")
+    sizes = keyed.groupBy("h").agg(several.alias("several"), F.count("*").alias("m")).where("several")
+    crowded = largest(sizes.where(F.col("m") > crowd).select("h", "m"))
+    parts = [keyed]
+    if crowded:
+        more = stored(with_prefixes(texts, k, least, known, crowded), "similar-added")
+        behind = stored(texts.sparkSession.createDataFrame(pa.table({"h": pa.array(list(crowded), pa.int64())})), "similar-crowded")
+        parts = [keyed.join(F.broadcast(behind), "h", "left_anti"), more]  # at most 1,048,576 rows
+    every = parts[0].unionByName(parts[1]) if len(parts) > 1 else keyed
+    shared = every.groupBy("h").agg(several.alias("several")).where("several").select("h")
+    return stored(every.join(shared, "h").select("h", "fp", "n").distinct(), "similar-members")
 
 
 def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
-    """Edges (a, b) over texts (fp, text), one for each fp, whose components are those of all pairs with Jaccard similarity ``least`` or more.
+    """Edges (a, b) over texts (fp, text, uid), copies of a text having one fp, whose components are those of all pairs with Jaccard similarity ``least`` or more.
 
     Each edge is verified on the whole sets. A shingle's members are first compared
     with one of them alone, in ``stars`` turns with another one each; then all pairs
     that these edges do not connect yet.
     """
     shared = members_of(texts, k, least)
-    sets = stored(with_sets(texts.join(shared.select("fp").distinct(), "fp", "left_semi"), k), "similar-sets")
+    wanted = shared.select("fp").distinct()
+    found = with_sets(texts.select("fp", "text"), k, buckets_of(wanted)).join(wanted, "fp", "left_semi")
+    sets = stored(found.groupBy("fp").agg(F.first("members").alias("members")), "similar-sets")
     left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
 
     def verified(pairs):
@@ -289,12 +319,12 @@ def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame
         held = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "similar-pairs")
         return stored(held.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b"), "similar-edges")
 
-    # What is left of both sets from the first common shingle on must suffice.
-    fits = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    # The smaller set must be large enough for the larger one.
+    fits = F.least(F.col("x.n"), F.col("y.n")) >= F.lit(least) * F.greatest(F.col("x.n"), F.col("y.n")) - 1e-9
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & fits
     edges, rooted = None, shared.withColumn("root", F.col("fp"))
     for turn in range(stars):
-        hub = rooted.groupBy("h").agg(F.min_by(F.struct("fp", "at", "n", "root"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", "hub.*")
+        hub = rooted.groupBy("h").agg(F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", "hub.*")
         more = verified(rooted.alias("x").join(hub.alias("y"), apart))
         edges = more if edges is None else edges.unionByName(more)
         roots = components(edges).withColumnRenamed("node", "fp")
@@ -315,7 +345,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     fp, uid = own_name(df, "fp"), own_name(df, "uid")
     marked = stored(with_digests(df, text_col, fp, k).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows")
     folded = folded_of(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")), "id")
-    texts = marked.join(folded.select(F.col("first.uid").alias(uid)), uid, "left_semi").select(F.col(fp).alias("fp"), F.col(text_col).alias("text"))
+    texts = marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text"), F.col(uid).alias("uid"))
     keep = grouped(folded, similar(texts, k, least)).select(F.col("keep").alias(uid)).distinct()
     return marked.join(keep, uid, "left_semi").select(*df.columns)
 

@@ -156,3 +156,37 @@ def test_empty_table(spark):
 def test_fingerprint_of_few_words():
     assert fingerprint(None) == fingerprint("  ") == 0
     assert fingerprint("one two") == xxhash.xxh64_intdigest("one two", 42)
+
+
+def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
+    """Passages that many texts share, with a limit so low that most are put behind."""
+    import random
+
+    from factorloom.llm import simhash
+
+    random.seed(31)
+    word = lambda: f"w{random.randrange(5000)}"
+    passages = [[word() for _ in range(40)] for _ in range(4)]
+    texts = []
+    for n in range(160):
+        body = [word() for _ in range(random.choice([0, 5, 12, 60]))] + passages[n % 4] + [word() for _ in range(random.choice([0, 3]))]
+        texts.append(" ".join(body))
+        if n % 5 == 0:
+            texts.append(texts[-1])
+    plain = simhash.members_of
+    monkeypatch.setattr(simhash, "members_of", lambda t, k, least: plain(t, k, least, crowd=2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect())
+    sets, root = [set(simhash.shingle_hashes(t, 5)) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert kept == sorted({find(i) for i in range(len(texts))}) and len(kept) < len(texts) - 40
