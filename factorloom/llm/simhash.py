@@ -301,38 +301,51 @@ def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32) -> DataF
     return stored(every.join(shared, "h").select("h", "fp", "n").distinct(), "similar-members")
 
 
-def similar(texts: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
-    """Edges (a, b) over texts (fp, text, uid), copies of a text having one fp, whose components are those of all pairs with Jaccard similarity ``least`` or more.
-
-    Each edge is verified on the whole sets. A shingle's members are first compared
-    with one of them alone, in ``stars`` turns with another one each; then all pairs
-    that these edges do not connect yet.
+def similar(texts: DataFrame, ones: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
+    """Edges (a, b) over the fp of texts (fp, text, uid), whose components are those of all pairs with Jaccard similarity ``least`` or more; ones (fp, uid): a row of each fp.
+
+    Members of a shingle are first compared with ``stars`` of them alone; then all
+    pairs that these edges do not connect yet. A pair is a candidate only if it has so
+    many first shingles in common as its sizes ask for: of sets of x and y shingles,
+    i = least (x + y) / (1 + least) are in both, and all but x - i of the first ones of
+    one and y - i of the other. Each edge is verified on the whole sets.
     """
     shared = members_of(texts, k, least)
-    wanted = shared.select("fp").distinct()
-    found = with_sets(texts.select("fp", "text"), k, buckets_of(wanted)).join(wanted, "fp", "left_semi")
-    sets = stored(found.groupBy("fp").agg(F.first("members").alias("members")), "similar-sets")
-    left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
-
-    def verified(pairs):
-        both = F.size(F.array_intersect("x", "y"))
-        held = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "similar-pairs")
-        return stored(held.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b"), "similar-edges")
-
+    some = lambda n: F.ceil(F.lit(least) * n - 1e-9)
+    both = F.ceil(F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")) - 1e-9)
+    enough = F.col("c") >= F.least(both - some(F.col("nx")), both - some(F.col("ny"))) + 1
     # The smaller set must be large enough for the larger one.
-    fits = F.least(F.col("x.n"), F.col("y.n")) >= F.lit(least) * F.greatest(F.col("x.n"), F.col("y.n")) - 1e-9
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & fits
-    edges, rooted = None, shared.withColumn("root", F.col("fp"))
+    fits = F.least("nx", "ny") >= F.lit(least) * F.greatest("nx", "ny") - 1e-9
+    mine = lambda x, n, root: shared.select("h", F.col("fp").alias(x), F.col("n").alias(n)) if root is None else root.select("h", F.col("fp").alias(x), F.col("n").alias(n), F.col("root").alias(f"{x}_root"))
+
+    def verified(counted):
+        """Edges among (a, b) with the sizes and the number of first shingles in common."""
+        held = stored(counted.where(enough).select("a", "b"), "similar-pairs")
+        wanted = stored(held.select(F.col("a").alias("fp")).unionByName(held.select(F.col("b").alias("fp"))).distinct().join(ones, "fp"), "similar-wanted")
+        found = with_sets(texts.select(F.col("uid").alias("fp"), "text"), k, buckets_of(wanted.select(F.col("uid").alias("fp"))))
+        sets = stored(found.withColumnRenamed("fp", "uid").join(wanted, "uid").select("fp", "members"), "similar-sets")
+        left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+        inside = F.size(F.array_intersect("x", "y"))
+        edges = stored(held.join(left, "a").join(right, "b").where(inside / (F.size("x") + F.size("y") - inside) >= least).select("a", "b"), "similar-edges")
+        discard(held, wanted, sets)
+        return edges
+
+    pairs = None
     for turn in range(stars):
-        hub = rooted.groupBy("h").agg(F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", "hub.*")
-        more = verified(rooted.alias("x").join(hub.alias("y"), apart))
-        edges = more if edges is None else edges.unionByName(more)
-        roots = components(edges).withColumnRenamed("node", "fp")
-        rooted = shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-        rooted = stored(rooted.join(mixed, "h", "left_semi"), "similar-rooted")
-    rest = verified(rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.fp") < F.col("y.fp"))))
-    return rest if edges is None else edges.unionByName(rest)
+        hub = shared.groupBy("h").agg(F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", F.col("hub.fp").alias("b"), F.col("hub.n").alias("ny"))
+        more = mine("a", "nx", None).join(hub, "h").where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = more if pairs is None else pairs.unionByName(more)
+    pairs = stored(pairs.distinct(), "similar-stars")
+    # A pair's shingles need not all have the same hub, so they are counted from both texts' own.
+    counted = pairs.join(mine("a", "nx", None), "a").join(mine("b", "ny", None), ["b", "h"]).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"))
+    edges = verified(counted)
+    roots = components(edges).withColumnRenamed("node", "fp")
+    rooted = shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    rooted = stored(rooted.join(mixed, "h", "left_semi"), "similar-rooted")
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & fits
+    rest = mine("a", "nx", rooted).join(mine("b", "ny", rooted), "h").where(apart).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"))
+    return edges.unionByName(verified(rest))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
@@ -346,7 +359,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = stored(with_digests(df, text_col, fp, k).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows")
     folded = folded_of(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")), "id")
     texts = marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text"), F.col(uid).alias("uid"))
-    keep = grouped(folded, similar(texts, k, least)).select(F.col("keep").alias(uid)).distinct()
+    keep = grouped(folded, similar(texts, folded.select("fp", F.col("first.uid").alias("uid")), k, least)).select(F.col("keep").alias(uid)).distinct()
     return marked.join(keep, uid, "left_semi").select(*df.columns)
 
 
