@@ -187,29 +187,32 @@ def with_digests(df: DataFrame, text_col: str, out: str, k: int) -> DataFrame:
 
 
 def with_sets(texts: DataFrame, k: int, buckets: np.ndarray | None = None) -> DataFrame:
-    """(fp, members) of texts (fp, text): each text's set of shingles, where its fp falls into one of the buckets."""
+    """(uid, members) of texts (uid, text): each text's set of shingles, where its uid falls into one of the buckets."""
 
     @tidied
     def each(batches):
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for at in np.flatnonzero(buckets[bucket_of(fps)]) if buckets is not None else range(len(fps)):
+            uids = batch.column(0).to_numpy()
+            for at in np.flatnonzero(buckets[bucket_of(uids)]) if buckets is not None else range(len(uids)):
                 held = pa.array(shingle_set(batch.column(1)[int(at)].as_py(), k).view("<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array([fps[at]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["fp", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([uids[at]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["uid", "members"])
 
-    return texts.mapInArrow(each, "fp long, members array<long>")
+    return texts.select("uid", "text").mapInArrow(each, "uid long, members array<long>")
 
 
 BUCKETS = 1 << 22
+#: Row numbers are a part's number, from bit 33 on, and a place in it: buckets take both.
+PLACE, STRIDE = 33, 7919
 
 
-def bucket_of(fps: np.ndarray) -> np.ndarray:
-    return (fps.view("<u8") % np.uint64(BUCKETS)).astype("<i8")
+def bucket_of(uids: np.ndarray) -> np.ndarray:
+    return ((uids & (1 << PLACE) - 1) + (uids >> PLACE) * STRIDE) % BUCKETS
 
 
-def buckets_of(fps: DataFrame) -> np.ndarray:
-    """Which buckets hold an fp: bits of a fixed number, however many there are. What shares a bucket by chance is sorted out by a join."""
-    found = fps.select(F.pmod(F.col("fp"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().toArrow()
+def buckets_of(uids: DataFrame) -> np.ndarray:
+    """Which buckets hold a uid: bits of a fixed number, however many there are. What shares a bucket by chance is sorted out by a join."""
+    place, part = F.col("uid").bitwiseAND(F.lit((1 << PLACE) - 1).cast("long")), F.shiftright("uid", PLACE)
+    found = uids.select(F.pmod(place + part * STRIDE, F.lit(BUCKETS)).cast("int").alias("b")).distinct().toArrow()
     out = np.zeros(BUCKETS, bool)
     out[found.column("b").to_numpy()] = True
     return out
@@ -218,7 +221,7 @@ def buckets_of(fps: DataFrame) -> np.ndarray:
 def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> dict[int, int]:
     """Shingles that are in three or more of about ``rows`` drawn texts (copies left aside), and in about how many of all."""
     every = max(1, -(-texts.count() // rows))
-    drawn = with_sets(texts.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).dropDuplicates(["fp"]).select("fp", "text"), k)
+    drawn = with_sets(texts.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).dropDuplicates(["fp"]), k)
     return largest(drawn.select(F.explode("members").alias("h")).groupBy("h").agg((F.count("*") * every).alias("m")).where(F.col("m") > 2 * every))
 
 
@@ -246,23 +249,22 @@ class Order:
 
 
 def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int], crowded: dict[int, int] | None = None) -> DataFrame:
-    """(fp, h, n): the shingles, of n, that come first in an order that is the same for all texts.
+    """(fp, h, at, n): the shingles, of n, that come first in an order that is the same for all texts, and their places.
 
     Sets of similarity ``least`` or more have one of these in common, whatever the
     order. Here the shingles ``known`` to be in many texts come last, which spares
-    pairs and decides nothing. With ``crowded`` ones, only what the order that puts
-    these behind too adds: the rest stays as it was, but for the crowded themselves.
+    pairs and decides nothing. With ``crowded`` ones, those in the order that puts
+    these behind too, of the texts alone that have one among their first.
     """
     before = Order(known)
     after = Order({**known, **{h: max(m, known.get(h, 0)) for h, m in crowded.items()}}) if crowded else None
-    hidden = np.sort(np.array(list(crowded), "<i8").view("<u8")) if crowded else None
+    hidden = np.sort(np.array([*crowded, -1], "<i8").view("<u8")) if crowded else None  # the last, -1, is no member and larger than any
 
     def first(text):
         held = shingle_set(text, k)
         out = before.first(held, least)
         if after is not None:
-            moved = np.isin(out, hidden)
-            out = np.setdiff1d(after.first(held, least), out[~moved], assume_unique=True) if moved.any() else out[:0]
+            out = after.first(held, least) if (hidden[np.searchsorted(hidden, out)] == out).any() else out[:0]
         return out, len(held)
 
     @tidied
@@ -272,14 +274,19 @@ def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int],
             counts = [len(h) for h, _ in made]
             if not sum(counts):
                 continue
-            columns = [np.repeat(batch.column(0).to_numpy(), counts), np.concatenate([h for h, _ in made]).view("<i8"), np.repeat(np.array([n for _, n in made], "<i4"), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "n"])
+            columns = [
+                np.repeat(batch.column(0).to_numpy(), counts),
+                np.concatenate([h for h, _ in made]).view("<i8"),
+                np.concatenate([np.arange(c, dtype="<i4") for c in counts]),
+                np.repeat(np.array([n for _, n in made], "<i4"), counts),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "at", "n"])
 
-    return texts.select("fp", "text").mapInArrow(each, "fp long, h long, n int")
+    return texts.select("fp", "text").mapInArrow(each, "fp long, h long, at int, n int")
 
 
 def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32) -> DataFrame:
-    """(h, fp, n), stored: the texts' first shingles that two different texts or more have.
+    """(h, fp, at, n), stored: the texts' first shingles that two different texts or more have.
 
     A shingle with more than ``crowd`` members is common after all: it is put behind the
     rarer ones of all texts, which changes the first shingles of those texts alone that
@@ -298,17 +305,22 @@ def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32) -> DataF
         parts = [keyed.join(F.broadcast(behind), "h", "left_anti"), more]  # at most 1,048,576 rows
     every = parts[0].unionByName(parts[1]) if len(parts) > 1 else keyed
     shared = every.groupBy("h").agg(several.alias("several")).where("several").select("h")
-    return stored(every.join(shared, "h").select("h", "fp", "n").distinct(), "similar-members")
+    out = stored(every.join(shared, "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-members")  # a text formed anew has its later, smaller places
+    discard(keyed, *([more, behind] if crowded else []))
+    return out
 
 
 def similar(texts: DataFrame, ones: DataFrame, k: int, least: float, stars: int = 2) -> DataFrame:
     """Edges (a, b) over the fp of texts (fp, text, uid), whose components are those of all pairs with Jaccard similarity ``least`` or more; ones (fp, uid): a row of each fp.
 
-    Members of a shingle are first compared with ``stars`` of them alone; then all
-    pairs that these edges do not connect yet. A pair is a candidate only if it has so
-    many first shingles in common as its sizes ask for: of sets of x and y shingles,
-    i = least (x + y) / (1 + least) are in both, and all but x - i of the first ones of
-    one and y - i of the other. Each edge is verified on the whole sets.
+    Members of a shingle are first compared with ``stars`` of them alone: the one in
+    which the fewest shingles are rarer, as in the text that a group of copies comes
+    from, and then others; after that all pairs that these edges do not connect yet,
+    where the shingle can be the first that both have: of sets of x and y shingles,
+    i = least (x + y) / (1 + least) must be in both, so no more than x - i and y - i
+    come before it. A pair is a candidate only if it has so many first shingles in
+    common as its sizes ask for: all but x - i of the first ones of one and y - i of
+    the other. Each edge is verified on the whole sets.
     """
     shared = members_of(texts, k, least)
     some = lambda n: F.ceil(F.lit(least) * n - 1e-9)
@@ -316,14 +328,15 @@ def similar(texts: DataFrame, ones: DataFrame, k: int, least: float, stars: int
     enough = F.col("c") >= F.least(both - some(F.col("nx")), both - some(F.col("ny"))) + 1
     # The smaller set must be large enough for the larger one.
     fits = F.least("nx", "ny") >= F.lit(least) * F.greatest("nx", "ny") - 1e-9
-    mine = lambda x, n, root: shared.select("h", F.col("fp").alias(x), F.col("n").alias(n)) if root is None else root.select("h", F.col("fp").alias(x), F.col("n").alias(n), F.col("root").alias(f"{x}_root"))
+    mine = lambda x, n: shared.select("h", F.col("fp").alias(x), F.col("n").alias(n))
+    # A pair's shingles need not all lead to it, so they are counted from both texts' own.
+    counted = lambda pairs: pairs.join(mine("a", "nx"), "a").join(mine("b", "ny"), ["b", "h"]).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"))
 
     def verified(counted):
         """Edges among (a, b) with the sizes and the number of first shingles in common."""
         held = stored(counted.where(enough).select("a", "b"), "similar-pairs")
         wanted = stored(held.select(F.col("a").alias("fp")).unionByName(held.select(F.col("b").alias("fp"))).distinct().join(ones, "fp"), "similar-wanted")
-        found = with_sets(texts.select(F.col("uid").alias("fp"), "text"), k, buckets_of(wanted.select(F.col("uid").alias("fp"))))
-        sets = stored(found.withColumnRenamed("fp", "uid").join(wanted, "uid").select("fp", "members"), "similar-sets")
+        sets = stored(with_sets(texts, k, buckets_of(wanted)).join(wanted, "uid").select("fp", "members"), "similar-sets")
         left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
         inside = F.size(F.array_intersect("x", "y"))
         edges = stored(held.join(left, "a").join(right, "b").where(inside / (F.size("x") + F.size("y") - inside) >= least).select("a", "b"), "similar-edges")
@@ -332,20 +345,22 @@ def similar(texts: DataFrame, ones: DataFrame, k: int, least: float, stars: int
 
     pairs = None
     for turn in range(stars):
-        hub = shared.groupBy("h").agg(F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("h", F.col("hub.fp").alias("b"), F.col("hub.n").alias("ny"))
-        more = mine("a", "nx", None).join(hub, "h").where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        hub = shared.groupBy("h").agg(F.min_by(F.struct("fp", "n"), F.struct(F.when(F.lit(turn) == 0, F.col("at")), F.xxhash64("fp", F.lit(turn)))).alias("hub")).select("h", F.col("hub.fp").alias("b"), F.col("hub.n").alias("ny"))
+        more = mine("a", "nx").join(hub, "h").where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = more if pairs is None else pairs.unionByName(more)
     pairs = stored(pairs.distinct(), "similar-stars")
-    # A pair's shingles need not all have the same hub, so they are counted from both texts' own.
-    counted = pairs.join(mine("a", "nx", None), "a").join(mine("b", "ny", None), ["b", "h"]).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"))
-    edges = verified(counted)
+    edges = verified(counted(pairs))
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     rooted = stored(rooted.join(mixed, "h", "left_semi"), "similar-rooted")
-    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & fits
-    rest = mine("a", "nx", rooted).join(mine("b", "ny", rooted), "h").where(apart).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("c"))
-    return edges.unionByName(verified(rest))
+    one = lambda x: rooted.select("h", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), F.col("root").alias(f"root_{x}"))
+    inside = F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.col("at_a") <= F.col("na") - inside) & (F.col("at_b") <= F.col("nb") - inside)
+    rest = stored(one("a").join(one("b"), "h").where(apart).select("a", "b").distinct(), "similar-rest")
+    out = stored(edges.unionByName(verified(counted(rest))), "similar-links")
+    discard(shared, pairs, rooted, rest)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
