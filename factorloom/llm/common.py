@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import glob
 import os
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import discard, scratch, shared_dir, stored
 
-__all__ = ["crc32_of", "discard", "one_thread", "own_name", "scratch", "shared_dir", "stored", "table", "tidied"]
+__all__ = ["crc32_of", "discard", "one_thread", "own_name", "scratch", "shared_dir", "stored", "table", "tidied", "tidy_shuffles"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def tidy() -> None:
         pass
 
 
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are done with: it does so when the driver collects its garbage, on its own every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @functools.cache
 def blas():
     """Functions that get and set the number of threads of numpy's own BLAS; None if it is another one."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, own_name, stored, tidied
+from .common import discard, own_name, stored, tidied, tidy_shuffles
 
 SEED = 42
 #: ASCII upper case to lower case; every other byte stays.
@@ -296,17 +296,27 @@ def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32) -> DataF
     known = common_shingles(texts, k)
     keyed = stored(with_prefixes(texts, k, least, known), "similar-prefixes")
     several = F.min("fp") != F.max("fp")
-    sizes = keyed.groupBy("h").agg(several.alias("several"), F.count("*").alias("m")).where("several")
-    crowded = largest(sizes.where(F.col("m") > crowd).select("h", "m"))
-    parts = [keyed]
+    sizes = stored(keyed.groupBy("h").agg(several.alias("several"), F.count("*").alias("m")).where("several").select("h", "m"), "similar-sizes")
+    crowded = largest(sizes.where(F.col("m") > crowd))
+    spark = texts.sparkSession
     if crowded:
         more = stored(with_prefixes(texts, k, least, known, crowded), "similar-added")
-        behind = stored(texts.sparkSession.createDataFrame(pa.table({"h": pa.array(list(crowded), pa.int64())})), "similar-crowded")
-        parts = [keyed.join(F.broadcast(behind), "h", "left_anti"), more]  # at most 1,048,576 rows
-    every = parts[0].unionByName(parts[1]) if len(parts) > 1 else keyed
-    shared = every.groupBy("h").agg(several.alias("several")).where("several").select("h")
-    out = stored(every.join(shared, "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-members")  # a text formed anew has its later, smaller places
-    discard(keyed, *([more, behind] if crowded else []))
+        behind = stored(spark.createDataFrame(pa.table({"h": pa.array(list(crowded), pa.int64())})), "similar-crowded")
+        rare = sizes.select("h").join(F.broadcast(behind), "h", "left_anti")  # at most 1,048,576 rows
+        wanted = stored(rare.unionByName(more.select("h").join(F.broadcast(behind), "h", "left_anti")).distinct(), "similar-wanted")
+        tidy_shuffles(spark)
+        # Of a text formed anew, what it had before comes with its later, smaller place too.
+        every = stored(keyed.join(wanted, "h").select("h", "fp", "n", "at").unionByName(more.select("h", "fp", "n", "at")), "similar-every")
+        discard(keyed, sizes, more, behind, wanted)
+        tidy_shuffles(spark)
+        shared = every.groupBy("h").agg(several.alias("several")).where("several").select("h")
+        out = stored(every.join(shared, "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-members")
+        discard(every)
+    else:
+        tidy_shuffles(spark)
+        out = stored(keyed.join(sizes.select("h"), "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-members")
+        discard(keyed, sizes)
+    tidy_shuffles(spark)
     return out
 
 
@@ -341,6 +351,7 @@ def similar(texts: DataFrame, ones: DataFrame, k: int, least: float, stars: int
         inside = F.size(F.array_intersect("x", "y"))
         edges = stored(held.join(left, "a").join(right, "b").where(inside / (F.size("x") + F.size("y") - inside) >= least).select("a", "b"), "similar-edges")
         discard(held, wanted, sets)
+        tidy_shuffles(texts.sparkSession)
         return edges
 
     pairs = None
