@@ -79,6 +79,11 @@ def with_fingerprints(df: DataFrame, text_col: str, out: str, k: int = 3) -> Dat
     return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)]))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for joins that sort and merge. Its rows grow with the input: as hashes they take many times the size that the planner sees in files, and a broadcast gathers them on the driver."""
+    return df.hint("merge")
+
+
 def _near(a, b, radius: int):
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
@@ -91,16 +96,16 @@ def links(prints: DataFrame, crowd: int = 16) -> DataFrame:
     # Counted with partial sums first, then joined by the planner's own exchange, which splits a crowded variant.
     keyed = prints.select("fp", variants.alias("variant"))
     sizes = keyed.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, "variant"), "simhash-members")
+    shared = stored(keyed.join(merged(sizes), "variant"), "simhash-members")
     pairs = shared.where("n = 2").groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b").where(_near(F.col("a"), F.col("b"), 2))
     few = shared.where(F.col("n").between(3, crowd)).select("variant", "fp")
     x, y = few.alias("x"), few.alias("y")
-    some = x.join(y, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp"), 2))
+    some = x.join(merged(y), (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp"), 2))
     some = some.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
     balls = many.select("fp", F.expr("explode(transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i))))").alias("word"))
     middles = balls.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("word", "a")
-    star = balls.join(middles, "word").where("fp > a").select("a", F.col("fp").alias("b"))
+    star = balls.join(merged(middles), "word").where("fp > a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(some).unionByName(star).distinct()
 
 
@@ -116,12 +121,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(merged(least), both.a == least.u).where("b > a").select(F.col("m").alias("a"), "b").distinct()
         large = stored(large, "large-star")
         # small star: u and its smaller neighbours go to the smallest of them
         discard(least)
         least = stored(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m"), "least")
-        small = large.join(least, large.b == least.u).where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
+        small = large.join(merged(least), large.b == least.u).where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
         edges = stored(small.unionByName(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), "components")
         mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         settled = edges.agg(F.count("*"), mark).first() == before.agg(F.count("*"), mark).first()
@@ -147,10 +152,10 @@ def grouped(folded: DataFrame, edges: DataFrame) -> DataFrame:
     null id last.
     """
     roots = components(edges)
-    rooted = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = folded.join(merged(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "simhash-rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    return stored(rooted.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep")), "simhash-grouped")
+    return stored(rooted.join(merged(best), "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.uid").alias("keep")), "simhash-grouped")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
@@ -164,7 +169,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = with_fingerprints(slim, "text", "fp", k).select("id", "fp", F.monotonically_increasing_id().alias("uid"))
     prints = stored(prints, "simhash-prints")
     folded = folded_of(prints, "id")
-    found = prints.join(grouped(folded, links(folded.select("fp"))), "fp")
+    found = prints.join(merged(grouped(folded, links(folded.select("fp")))), "fp")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep")).alias("is_kept"))
 
 

@@ -190,3 +190,20 @@ def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert kept == sorted({find(i) for i in range(len(texts))}) and len(kept) < len(texts) - 40
+
+
+def test_no_join_of_growing_tables_broadcasts(spark, monkeypatch):
+    """A table that grows with the input never goes through the driver, however small the planner takes it to be."""
+    from factorloom.llm import simhash
+
+    plans = []
+
+    def seen(df, name, plain=simhash.stored):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    seen(simhash_components(df), "simhash-result")
+    assert len(plans) > 8 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
