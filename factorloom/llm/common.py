@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import discard, scratch, shared_dir, stored
 
-__all__ = ["crc32_of", "discard", "one_thread", "own_name", "scratch", "shared_dir", "stored", "table", "tidied", "tidy_shuffles"]
+__all__ = ["KEPT", "crc32_of", "discard", "let_go", "one_thread", "own_name", "scratch", "shared_dir", "small_batches", "stored", "table", "tidied", "tidy_shuffles"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,28 @@ def tidy_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Clears what a Python worker keeps from task to task for one kind of work.
+KEPT: list = []
+
+
+def let_go() -> None:
+    """At the begin of other work in a worker: what it keeps for earlier work goes."""
+    for clear in KEPT:
+        clear()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Frames that run inside send Python so many rows at a time: the texts of ten thousand take much memory outside an executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(held), rows) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 @functools.cache
 def blas():
     """Functions that get and set the number of threads of numpy's own BLAS; None if it is another one."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, stored, table, tidied
+from .common import KEPT, scratch, stored, table, tidied
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 LONGEST = 64
@@ -205,6 +205,7 @@ class CachedEncoder:
 
 
 _ENCODERS: dict[tuple, CachedEncoder] = {}
+KEPT.append(_ENCODERS.clear)
 
 
 def encoder(name: str, path: str | None, spaced: bool) -> CachedEncoder:

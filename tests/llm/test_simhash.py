@@ -207,3 +207,37 @@ def test_no_join_of_growing_tables_broadcasts(spark, monkeypatch):
     seen(simhash_components(df), "simhash-result")
     assert len(plans) > 8 and sum("SortMergeJoin" in p for p in plans) > 5
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_near_copies_come_by_fingerprint_variants(spark, monkeypatch):
+    """Near copies are found by SimHash; without the exact check only pairs at the edge of the similarity are missed, and a crowd of copies gives no pairs with its square."""
+    from factorloom.llm import simhash
+
+    random.seed(12)
+    rows, pairs = [], 0
+    for changed in (1, 2, 3) * 30:
+        w = [f"w{random.randrange(9000)}" for _ in range(220)]
+        v = list(w)
+        for at in random.sample(range(220), changed):
+            v[at] = f"new{random.randrange(10**6)}"
+        rows += [" ".join(w), " ".join(v)]
+    w = [f"w{random.randrange(9000)}" for _ in range(400)]
+    for n in range(300):
+        rows.append(" ".join([*w, f"end{n}"]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    made = {}
+
+    def seen(prints, plain=simhash.near_prints):
+        out = plain(prints)
+        made["near"] = {(r.a, r.b) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(simhash, "near_prints", seen)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [*range(0, 180, 2), 180]
+    fp = {r.doc_id: r.fp for r in simhash.with_digests(df, "text", "fp", "print", 5).collect()}
+    found = sum((min(fp[n], fp[n + 1]), max(fp[n], fp[n + 1])) in made["near"] for n in range(0, 180, 2))
+    assert found >= 86
+    assert 299 <= len(made["near"]) - found < 300 * 300 / 8
+    for n in range(0, 180, 2):
+        for m in (n + 2, n + 3):
+            assert m >= 180 or (min(fp[n], fp[m]), max(fp[n], fp[m])) not in made["near"]
