@@ -13,8 +13,10 @@ way: two fingerprints are within two bits of each other if and only if some
 every word links its members to their smallest: edges in proportion to members.
 
 ``drop_near_duplicates`` goes the same way with longer fingerprints, of sets of shingles:
-240 bits in ten segments of 24, whose one-wildcard variants are the keys. Candidates that
-differ in 60 bits or fewer are verified on the whole sets. Fingerprints cannot promise every
+ten segments, whose one-wildcard variants are the keys. A segment has 24 bits, or as many
+more as the number of texts asks for, so that the texts that meet by chance are as many
+for each text in a large table as in a small one. Candidates that differ in a quarter of
+the bits or fewer are verified on the whole sets. Fingerprints cannot promise every
 pair of similarity 0.8, so an exact check follows: pairs that no link connects yet, but that
 have one of each set's first shingles in common, in any one order, are verified as well.
 """
@@ -89,9 +91,9 @@ def _near(a, b, radius: int):
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
 
-def sharing(prints: DataFrame, segments: int, bits: int) -> DataFrame:
-    """(variant, fp, n), stored: the one-wildcard variants of each segment that n > 1 rows of prints (fp, print) have; print is an array of segments of ``bits`` bits."""
-    each = f"explode(transform(sequence(0, {segments * bits - 1}), v -> shiftleft(cast(v as bigint), 32) | (print[cast(v div {bits} as int)] & ~shiftleft(1L, v % {bits}))))"
+def sharing(prints: DataFrame, segments: int, bits: int, begin: int = 0) -> DataFrame:
+    """(variant, fp, n), stored: the one-wildcard variants of so many segments from ``begin`` on that n > 1 rows of prints (fp, print) have; print is an array of segments of ``bits`` bits."""
+    each = f"explode(transform(sequence({begin * bits}, {(begin + segments) * bits - 1}), v -> shiftleft(cast(v as bigint), {bits}) | (print[cast(v div {bits} as int)] & ~shiftleft(1L, v % {bits}))))"
     # Counted with partial sums first, then joined by the planner's own exchange, which splits a crowded variant.
     keyed = prints.select("fp", F.expr(each).alias("variant"))
     sizes = keyed.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
@@ -183,19 +185,25 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 #: Fingerprints of sets: segments, the bits of each, and in how many bits of all near copies may differ.
-#: Sets of similarity 0.8 differ in 36 of 240 on average, deviation 5.6; unrelated ones in 120.
-SEGMENTS, BITS, RADIUS = 10, 24, 60
-MIXED = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Sets of similarity 0.8 differ in 60 of 400 on average, deviation 7.1; unrelated ones in 200.
+SEGMENTS, BITS, RADIUS = 10, 40, 100
+MIXED = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+
+
+def key_bits(texts: int) -> int:
+    """Of how many bits of each segment the variants are made: a text then meets about one other by chance, however many there are."""
+    return min(BITS, max(24, (texts - 1).bit_length() + 8))
+
 
 
 def long_print(held: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of hashes, in segments: a bit is 1 if it is set in over half of the hashes, each mixed four ways."""
-    counts = np.zeros(256, np.int64)
+    """The SimHash of a set of hashes, in segments: a bit is 1 if it is set in over half of the hashes, each mixed seven ways."""
+    counts = np.zeros(64 * (1 + len(MIXED)), np.int64)
     for at in range(0, len(held), BLOCK):
         words = [part := held[at : at + BLOCK]]
         for factor in MIXED:
             words.append((part := (part ^ part >> np.uint64(31)) * np.uint64(factor)) ^ part >> np.uint64(29))
-        counts += np.unpackbits(np.stack(words, axis=1).view(np.uint8).reshape(-1, 256 // 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(np.stack(words, axis=1).view(np.uint8).reshape(-1, 8 * (1 + len(MIXED))), axis=1).sum(axis=0, dtype=np.int64)
     return (counts[: SEGMENTS * BITS] * 2 > len(held)).reshape(SEGMENTS, BITS) @ (1 << np.arange(BITS))
 
 
@@ -217,23 +225,30 @@ def with_digests(df: DataFrame, text_col: str, out: str, print_: str, k: int) ->
     return df.mapInArrow(each, T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False), T.StructField(print_, T.ArrayType(T.LongType()))]))
 
 
-def near_prints(prints: DataFrame, crowd: int = 16) -> DataFrame:
+def near_prints(prints: DataFrame, crowd: int = 4, turns: int = 5) -> DataFrame:
     """Candidates (a, b), a < b, among prints (fp, print): they share a variant, and their fingerprints differ in RADIUS bits at most.
 
     Of a variant that more than ``crowd`` share, only its smallest fp with each other
-    one, so that pairs do not grow with the square of a group of copies.
+    one, so that pairs grow with the members and not with the square of a group of
+    copies. In turns by segment, so that a part of the variants is shuffled at a time.
     """
-    shared = sharing(prints, SEGMENTS, BITS)
-    few = shared.where(F.col("n") <= crowd).select("variant", "fp")
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(merged(y), (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    many = shared.where(F.col("n") > crowd).select("variant", "fp")
-    star = many.join(merged(many.groupBy("variant").agg(F.min("fp").alias("a"))), "variant").where("fp > a").select("a", F.col("fp").alias("b"))
-    pairs = stored(pairs.unionByName(star).distinct(), "similar-met")
+    bits, each, met = key_bits(prints.count()), SEGMENTS // turns, []
+    keys = prints.select("fp", F.expr(f"transform(print, p -> p & {(1 << bits) - 1}L)").alias("print"))
+    for begin in range(0, SEGMENTS, each):
+        shared = sharing(keys, each, bits, begin)
+        few = shared.where(F.col("n") <= crowd).select("variant", "fp")
+        x, y = few.alias("x"), few.alias("y")
+        pairs = x.join(merged(y), (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        many = shared.where(F.col("n") > crowd).select("variant", "fp")
+        star = many.join(merged(many.groupBy("variant").agg(F.min("fp").alias("a"))), "variant").where("fp > a").select("a", F.col("fp").alias("b"))
+        met.append(stored(pairs.unionByName(star).distinct(), "similar-met"))
+        discard(shared)
+        tidy_shuffles(prints.sparkSession)
+    pairs = reduce(DataFrame.unionByName, met).distinct()
     one = lambda c: merged(prints.select(F.col("fp").alias(c), F.col("print").alias(f"print_{c}")))
     apart = F.expr("aggregate(zip_with(print_a, print_b, (p, q) -> bit_count(p ^ q)), 0, (m, d) -> m + d)")
     out = stored(pairs.join(one("a"), "a").join(one("b"), "b").where(apart <= RADIUS).select("a", "b"), "similar-near")
-    discard(shared, pairs)
+    discard(*met)
     tidy_shuffles(prints.sparkSession)
     return out
 
@@ -245,29 +260,31 @@ def with_sets(texts: DataFrame, k: int, buckets: np.ndarray | None = None) -> Da
     def each(batches):
         for batch in batches:
             uids = batch.column(0).to_numpy()
-            for at in np.flatnonzero(buckets[bucket_of(uids)]) if buckets is not None else range(len(uids)):
+            for at in np.flatnonzero(within(uids, buckets)) if buckets is not None else range(len(uids)):
                 held = pa.array(shingle_set(batch.column(1)[int(at)].as_py(), k).view("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array([uids[at]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], names=["uid", "members"])
 
     return texts.select("uid", "text").mapInArrow(each, "uid long, members array<long>")
 
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 25
 #: Row numbers are a part's number, from bit 33 on, and a place in it: buckets take both.
-PLACE, STRIDE = 33, 7919
+PLACE, STRIDE = 33, 1_000_003
 
 
-def bucket_of(uids: np.ndarray) -> np.ndarray:
-    return ((uids & (1 << PLACE) - 1) + (uids >> PLACE) * STRIDE) % BUCKETS
+def within(uids: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Which of uids fall into one of the buckets."""
+    at = ((uids & (1 << PLACE) - 1) + (uids >> PLACE) * STRIDE) % BUCKETS
+    return buckets[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
 
 def buckets_of(uids: DataFrame) -> np.ndarray:
-    """Which buckets hold a uid: bits of a fixed number, however many there are. What shares a bucket by chance is sorted out by a join."""
+    """Which buckets hold a uid: a fixed number of bits, eight in a byte, however many uids there are. What shares a bucket by chance is sorted out by a join."""
     place, part = F.col("uid").bitwiseAND(F.lit((1 << PLACE) - 1).cast("long")), F.shiftright("uid", PLACE)
     found = uids.select(F.pmod(place + part * STRIDE, F.lit(BUCKETS)).cast("int").alias("b")).distinct().toArrow()
     out = np.zeros(BUCKETS, bool)
     out[found.column("b").to_numpy()] = True
-    return out
+    return np.packbits(out, bitorder="little")
 
 
 def common_shingles(texts: DataFrame, k: int, rows: int = 4000) -> dict[int, int]:
@@ -300,37 +317,34 @@ class Order:
         return held[np.lexsort((held, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else held
 
 
-def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int], crowded: dict[int, int] | None = None) -> DataFrame:
+def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int]) -> DataFrame:
     """(fp, h, at, n): the shingles, of n, that come first in an order that is the same for all texts, and their places.
 
     Sets of similarity ``least`` or more have one of these in common, whatever the
     order. Here the shingles ``known`` to be in many texts come last, which spares
-    pairs and decides nothing. With ``crowded`` ones, those in the order that puts
-    these behind too, of the texts alone that have one among their first.
+    pairs and decides nothing. Copies that one task meets give their rows once.
     """
-    before = Order(known)
-    after = Order({**known, **{h: max(m, known.get(h, 0)) for h, m in crowded.items()}}) if crowded else None
-    hidden = np.sort(np.array([*crowded, -1], "<i8").view("<u8")) if crowded else None  # the last, -1, is no member and larger than any
-
-    def first(text):
-        held = shingle_set(text, k)
-        out = before.first(held, least)
-        if after is not None:
-            out = after.first(held, least) if (hidden[np.searchsorted(hidden, out)] == out).any() else out[:0]
-        return out, len(held)
+    order = Order(known)
 
     @tidied
     def each(batches):
+        done: set[int] = set()
         for batch in batches:
-            made = [first(t.as_py()) for t in batch.column(1)]
-            counts = [len(h) for h, _ in made]
+            fps, new = batch.column(0).to_pylist(), []
+            for at, fp in enumerate(fps):
+                if fp not in done:
+                    done.add(fp)
+                    new.append(at)
+            sets = [shingle_set(batch.column(1)[at].as_py(), k) for at in new]
+            made = [order.first(held, least) for held in sets]
+            counts = [len(h) for h in made]
             if not sum(counts):
                 continue
             columns = [
-                np.repeat(batch.column(0).to_numpy(), counts),
-                np.concatenate([h for h, _ in made]).view("<i8"),
+                np.repeat(np.array([fps[at] for at in new], "<i8"), counts),
+                np.concatenate(made).view("<i8"),
                 np.concatenate([np.arange(c, dtype="<i4") for c in counts]),
-                np.repeat(np.array([n for _, n in made], "<i4"), counts),
+                np.repeat(np.array([len(held) for held in sets], "<i4"), counts),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "h", "at", "n"])
 
@@ -340,40 +354,29 @@ def with_prefixes(texts: DataFrame, k: int, least: float, known: dict[int, int],
 def members_of(texts: DataFrame, k: int, least: float, crowd: int = 32, turns: int = 4) -> DataFrame:
     """(h, fp, at, n), stored: the texts' first shingles that two different texts or more have.
 
-    A shingle with more than ``crowd`` members is common after all: it is put behind the
-    rarer ones of all texts, which changes the first shingles of those texts alone that
-    had it there. What stays crowded are the shingles of large groups of near copies
-    and of texts that have no rarer ones. On the driver are at most 1,048,576 shingles.
+    A first shingle with more than ``crowd`` members is common after all: it is put
+    behind the rarer ones, and all texts' first shingles are taken anew in that order.
+    What stays crowded are the shingles of large groups of near copies and of texts
+    that have no rarer ones. On the driver are at most 1,048,576 shingles.
     """
+    spark, several = texts.sparkSession, F.min("fp") != F.max("fp")
     known = common_shingles(texts, k)
-    keyed = stored(with_prefixes(texts, k, least, known), "similar-prefixes")
-    several = F.min("fp") != F.max("fp")
-    sizes = stored(keyed.groupBy("h").agg(several.alias("several"), F.count("*").alias("m")).where("several").select("h", "m"), "similar-sizes")
-    crowded = largest(sizes.where(F.col("m") > crowd))
-    spark = texts.sparkSession
-    if crowded:
-        more = stored(with_prefixes(texts, k, least, known, crowded), "similar-added")
-        behind = stored(spark.createDataFrame(pa.table({"h": pa.array(list(crowded), pa.int64())})), "similar-crowded")
-        rare = sizes.select("h").join(F.broadcast(behind), "h", "left_anti")  # at most 1,048,576 rows
-        wanted = stored(rare.unionByName(more.select("h").join(F.broadcast(behind), "h", "left_anti")).distinct(), "similar-wanted")
-        tidy_shuffles(spark)
-        # Of a text formed anew, what it had before comes with its later, smaller place too. In turns by shingle, so that a part of the rows is shuffled at a time.
-        parts = []
-        for turn in range(turns):
-            of = lambda df: df.where(F.pmod("h", F.lit(turns)) == turn)  # noqa: E731, B023
-            every = stored(of(keyed).join(merged(of(wanted)), "h").select("h", "fp", "n", "at").unionByName(of(more).select("h", "fp", "n", "at")), "similar-every")
-            shared = every.groupBy("h").agg(several.alias("several")).where("several").select("h")
-            parts.append(stored(every.join(merged(shared), "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-part"))
-            discard(every)
-            tidy_shuffles(spark)
-        discard(keyed, sizes, more, behind, wanted)
-        out = stored(reduce(DataFrame.unionByName, parts), "similar-members")
-        discard(*parts)
-    else:
-        tidy_shuffles(spark)
-        out = stored(keyed.join(merged(sizes.select("h")), "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-members")
-        discard(keyed, sizes)
+    sizes = with_prefixes(texts, k, least, known).groupBy("h").agg(several.alias("several"), F.count("*").alias("m"))
+    sizes = stored(sizes.where(F.col("several") & (F.col("m") > crowd)).select("h", "m"), "similar-crowded")
+    order = {**known, **{h: max(m, known.get(h, 0)) for h, m in largest(sizes).items()}}
+    discard(sizes)
     tidy_shuffles(spark)
+    keyed = stored(with_prefixes(texts, k, least, order), "similar-prefixes")
+    # In turns by shingle, so that a part of the rows is shuffled at a time.
+    parts = []
+    for turn in range(turns):
+        own = keyed.where(F.pmod("h", F.lit(turns)) == turn)
+        shared = own.groupBy("h").agg(several.alias("several")).where("several").select("h")
+        parts.append(stored(own.join(merged(shared), "h").groupBy("h", "fp", "n").agg(F.min("at").alias("at")), "similar-part"))
+        tidy_shuffles(spark)
+    discard(keyed)
+    out = stored(reduce(DataFrame.unionByName, parts), "similar-members")
+    discard(*parts)
     return out
 
 

@@ -241,3 +241,59 @@ def test_near_copies_come_by_fingerprint_variants(spark, monkeypatch):
     for n in range(0, 180, 2):
         for m in (n + 2, n + 3):
             assert m >= 180 or (min(fp[n], fp[m]), max(fp[n], fp[m])) not in made["near"]
+
+
+def test_texts_that_meet_by_chance_do_not_grow_with_the_square():
+    """Variants have as many bits as the number of texts asks for."""
+    from factorloom.llm.simhash import SEGMENTS, key_bits
+
+    for texts in (2, 5000, 50_000, 250_000, 15_000_000, 1 << 32):
+        bits = key_bits(texts)
+        assert SEGMENTS * bits * texts / 2 ** (bits - 1) / 2 <= 2
+
+
+def test_groups_of_near_copies_make_no_square_of_pairs(spark, monkeypatch):
+    """Sixteen near copies are linked by some pairs each, not by all 120 pairs; variants are shuffled a part at a time."""
+    from factorloom.llm import simhash
+
+    random.seed(40)
+    rows = []
+    for group in range(20):
+        base = [random.getrandbits(simhash.BITS) for _ in range(simhash.SEGMENTS)]
+        for n in range(16):
+            at, bit = divmod(random.randrange(simhash.SEGMENTS * 24), 24)
+            rows.append((group * 100 + n, [p ^ (1 << bit if i == at else 0) for i, p in enumerate(base)]))
+    met, members = [], []
+
+    def seen(df, name, plain=simhash.stored):
+        out = plain(df, name)
+        (met if name == "similar-met" else members if name == "simhash-members" else []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    near = simhash.near_prints(spark.createDataFrame(rows, "fp long, print array<long>"))
+    roots = {r.node: r.root for r in components(near).collect()}
+    assert roots == {fp: fp // 100 * 100 for fp, _ in rows}
+    assert len(met) == 5 and max(met) < 20 * 40
+    assert max(members) <= len(rows) * simhash.SEGMENTS * simhash.BITS / 5
+
+
+def test_buckets_of_rows_let_few_others_through(spark):
+    """Of many parts with many rows, hardly any but the rows that are asked for."""
+    import numpy as np
+
+    from factorloom.llm.simhash import buckets_of, within
+
+    every = np.concatenate([np.arange(16000, dtype="<i8") + (part << 33) for part in range(16)])
+    wanted = every[::13]
+    passed = within(every, buckets_of(spark.createDataFrame([(int(u),) for u in wanted], "uid long"))).astype(bool)
+    assert passed[::13].all() and passed.sum() < 1.01 * len(wanted)
+
+
+def test_copies_give_their_first_shingles_once(spark):
+    from factorloom.llm.simhash import with_digests, with_prefixes
+
+    rows = [(n, f"one text in {n % 2} words that stand here many times over") for n in range(400)]
+    texts = with_digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "text", "fp", "print", 5)
+    found = with_prefixes(texts, 5, 0.8, {})
+    assert found.count() == found.select("fp", "h").distinct().count() == 2 * 2
